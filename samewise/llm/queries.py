@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from samewise.functions.ids import standard_s1
 from samewise.llm.chunking import cut_corpus
 from samewise.llm.encode import encode_corpus
+from samewise.llm.leakage import find_leaks
 from samewise.llm.splits import assign_splits, entity_components
 from samewise.llm.topn import top_n
 from samewise.operators.hot import salted_pairs
@@ -41,6 +42,11 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a test passage wholly, or half of its words unbroken, and the item."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that have to be cut: those for which the operator gives a second piece."""
     pieces = cut_corpus(table(spark, sf_dir, "documents"), only_cut=True, with_text=False)
@@ -52,7 +58,7 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_corpus(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_splits": p3_splits, "p6_found": p6_found, "p7_ids": p7_ids, "p9_found": p9_found, "p9_pieces": p9_pieces}
+QUERIES = {"p3_found": p3_found, "p3_splits": p3_splits, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_pieces": p9_pieces}
 
 ORACLE = {
     "p6_found": r"""
