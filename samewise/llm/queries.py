@@ -9,12 +9,19 @@ from samewise.functions.ids import standard_s1
 from samewise.llm.chunking import cut_corpus
 from samewise.llm.encode import encode_corpus
 from samewise.llm.leakage import find_leaks
+from samewise.llm.places import same_places
 from samewise.llm.splits import assign_splits, entity_components
 from samewise.llm.topn import top_n
+from samewise.llm.variants import same_organisations
 from samewise.operators.hot import salted_pairs
 from samewise.session import cut, table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of Source 1 records at the same building or plot."""
+    return same_places(table(spark, sf_dir, "train_source1"), "entity_id", "business_address", "country")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of different writings in candidate_pairs.s1 that must land in the same split."""
     found = cut(entity_components(table(spark, sf_dir, "candidate_pairs"), table(spark, sf_dir, "train_labels")), "entities")
@@ -31,6 +38,11 @@ def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted.join(split, "component").select("s1", "component", "split", "rows")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of Source 1 records whose names mean the same organisation."""
+    return same_organisations(table(spark, sf_dir, "train_source1"), "entity_id", "business_name")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best candidates of each Source 1 record."""
     pairs = table(spark, sf_dir, "candidate_pairs").select(standard_s1("s1").alias("s1"), "cand", "score")
@@ -58,7 +70,7 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_corpus(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_splits": p3_splits, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_pieces": p9_pieces}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_splits": p3_splits, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_pieces": p9_pieces}
 
 ORACLE = {
     "p6_found": r"""
