@@ -230,3 +230,31 @@ def same_place(a: Address, b: Address) -> bool | None:
     if a.street != b.street and _share(a.street, b.street) > (0.45 if shared else 0.25):
         return False
     return alignment_cost(a, b) <= LIMIT
+
+
+def near_place(a: Address, b: Address) -> str:
+    """How two addresses of which one may be partial relate: same, partial, missing, open or different.
+
+    ``missing`` is when one of them is not there, ``open`` when they have no part in common.
+    """
+    if not (a.street or a.town or a.postcode) or not (b.street or b.town or b.postcode):
+        if not (a.region or b.region) or not a.region or not b.region or a.region == b.region:
+            return "missing"
+        return "different"
+    if a.number and b.number and a.street and b.street:
+        return "same" if same_place(a, b) else "different"
+    if a.postcode and b.postcode:
+        if a.postcode != b.postcode:
+            return "different"
+    elif a.town and b.town:
+        if _share(a.town, b.town) > 0.34:
+            return "different"
+    if a.number and b.number and a.number != b.number:
+        return "different"
+    if a.street and b.street and _share(a.street, b.street) > 0.4:
+        return "different"
+    if (a.postcode and b.postcode) or (a.town and b.town) or (a.street and b.street):
+        return "partial"
+    if a.region and b.region:
+        return "partial" if a.region == b.region else "different"
+    return "open"

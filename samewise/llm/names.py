@@ -96,7 +96,7 @@ def read_name(text: str | None) -> Name:
             trades.append(TRADE[w])
         elif w in CALLED and not given:
             given.append(CALLED[w])
-        elif w in _JOIN or w == "the" or (w in LEADS and not words):
+        elif (w in _JOIN and (words or len(w) > 1)) or w == "the" or (w in LEADS and not words):
             continue
         else:
             words.append(w)
@@ -146,6 +146,14 @@ def same_name(a: Name, b: Name) -> bool | None:
     return found
 
 
+def _initials_of(joined: str, other: Name) -> bool:
+    """Whether an initial and a word are the beginning and the end of words run together."""
+    initials, rest = [w for w in other.words if len(w) == 1], "".join(w for w in other.words if len(w) > 1)
+    if len(initials) != 1 or len(rest) < 4 or len(joined) < len(rest) + 2 or joined[0] != initials[0]:
+        return False
+    return min(edits(joined[-n:], rest, 1) for n in (len(rest) - 1, len(rest), len(rest) + 1)) <= 1
+
+
 def _same_name(a: Name, b: Name) -> bool | None:
     """Whether two names mean one organisation; None if one of them has no word.
 
@@ -159,15 +167,29 @@ def _same_name(a: Name, b: Name) -> bool | None:
     x, y = "".join(w for w in a.words if len(w) > 1), "".join(w for w in b.words if len(w) > 1)
     full = not any(len(w) == 1 for w in (*a.words, *b.words))
     most = max(len(x), len(y)) * 2 // 9
-    if x and y and full and edits(x, y, most) <= most:
-        return True
+    if x and y and edits(x, y, most) <= most:
+        if full:
+            return True
+        # words run together beside an initial: it has to stand for the other's given name or initial
+        mine, theirs = ({w for w in z.words if len(w) == 1} for z in (a, b))
+        if all(any(g[0] == w for g in b.given) for w in mine - theirs) and all(any(g[0] == w for g in a.given) for w in theirs - mine):
+            return True
+    if full and x and y and min(len(a.words), len(b.words)) == 1 and not (a.domain or b.domain):
+        turned = "".join(reversed(a.words)), "".join(reversed(b.words))
+        if edits(*turned, most) <= most or edits(x, turned[1], most) <= most or edits(turned[0], y, most) <= most:
+            return True
     if a.domain or b.domain:  # a web address may join the words in another order, or leave some out
         web, other = (a, b) if a.domain else (b, a)
         rest = [w for w in other.words if len(w) > 1]
         if other.domain or not rest:
             return False
         joined = {"".join(rest), "".join(reversed(rest)), "".join([*(fold(g) for g in other.given), *rest]), "".join([*rest, *map(fold, other.trades)])}
-        return any(edits(web.words[0], j, m) <= (m := len(j) * 2 // 9) for j in joined)
+        if any(edits(web.words[0], j, len(j) * 2 // 9) <= len(j) * 2 // 9 for j in joined):
+            return True
+        return _initials_of(web.words[0], other)
+    for one, other in ((a, b), (b, a)):
+        if len(one.words) == 1 and len(one.words[0]) > 8 and _initials_of(one.words[0], other) and set(a.trades) & set(b.trades):
+            return True
     left, right = list(a.words), list(b.words)
     matched, total = 0, 0
     for w in [w for w in a.words if len(w) > 1]:

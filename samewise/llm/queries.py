@@ -9,11 +9,13 @@ from samewise.functions.ids import standard_s1
 from samewise.llm.chunking import cut_corpus
 from samewise.llm.encode import encode_corpus
 from samewise.llm.leakage import find_leaks
+from samewise.llm.matching import match
 from samewise.llm.places import same_places
 from samewise.llm.splits import assign_splits, entity_components
 from samewise.llm.topn import top_n
 from samewise.llm.variants import same_organisations
 from samewise.operators.hot import salted_pairs
+from samewise.operators.packed import explode_packed
 from samewise.session import cut, table
 
 
@@ -22,6 +24,27 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_places(table(spark, sf_dir, "train_source1"), "entity_id", "business_address", "country")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The true pairs of the labelled records; those without a match have a NULL candidate."""
+    labels = table(spark, sf_dir, "train_labels")
+    pairs = explode_packed(labels, "source1_entity_id", "matched_entity_ids", "cand").select(standard_s1("source1_entity_id").alias("s1"), "cand")
+    return labels.select(standard_s1("source1_entity_id").alias("s1"), F.lit(None).cast("string").alias("cand")).unionByName(pairs).distinct()
+
+
+def p2_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate pairs of Source 1 records with Source 2 and 3, and their confidence."""
+    columns = ["entity_id", "business_name", "business_address", "country"]
+    left, two, three = (table(spark, sf_dir, f"train_source{k}").select(columns) for k in (1, 2, 3))
+    return match(left, two.unionByName(three), _labels(spark, sf_dir))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches held to be true of the Source 1 records that have no label."""
+    known = _labels(spark, sf_dir).select("s1").distinct()
+    found = p2_matches(spark, sf_dir).where("checked and confidence >= 0.5")
+    return found.join(known, "s1", "left_anti").select("s1", "cand")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of different writings in candidate_pairs.s1 that must land in the same split."""
     found = cut(entity_components(table(spark, sf_dir, "candidate_pairs"), table(spark, sf_dir, "train_labels")), "entities")
@@ -70,7 +93,7 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_corpus(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_splits": p3_splits, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_pieces": p9_pieces}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_matches": p2_matches, "p3_found": p3_found, "p3_splits": p3_splits, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_pieces": p9_pieces}
 
 ORACLE = {
     "p6_found": r"""
