@@ -39,3 +39,18 @@ def salted_pairs(df: DataFrame, bucket: list[str], item: str, block: int = 256)
     a, b = F.least("a", "b"), F.greatest("a", "b")
     keep: Column = (F.col("__i") < F.col("__j")) | (F.col("a") < F.col("b"))
     return both.where(keep & (F.col("a") != F.col("b"))).select(*bucket, a.alias("a"), b.alias("b"))
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, block: int = 512) -> DataFrame:
+    """Inner join of two tables on ``key``; a key with many rows on either side is split.
+
+    ``n`` rows of a key on one side are laid out as ``ceil(n / block)`` blocks, the other side is sent to each of them,
+    and both sides are split so: a task meets at most ``block`` by ``block`` rows of a key at a time. The other columns must have
+    different names. NULL keys join with nothing.
+    """
+    both = left.groupBy(key).agg(F.count("*").alias("__l")).join(right.groupBy(key).agg(F.count("*").alias("__r")), key)
+    shape = both.select(key, F.ceil(F.col("__l") / block).cast("int").alias("__kl"), F.ceil(F.col("__r") / block).cast("int").alias("__kr"))
+    at = lambda df, k: F.pmod(F.xxhash64(*[c for c in df.columns if c != key]), k).cast("int")
+    x = left.join(shape, key).withColumn("__i", at(left, F.col("__kl"))).withColumn("__j", F.explode(F.sequence(F.lit(0), F.col("__kr") - 1))).drop("__kl", "__kr")
+    y = right.join(shape, key).withColumn("__j", at(right, F.col("__kr"))).withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__kl") - 1))).drop("__kl", "__kr")
+    return x.join(y, [key, "__i", "__j"]).drop("__i", "__j")
