@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from samewise.plans import general_queries
+from samewise.plans import er_queries, general_queries
 
-QUERIES = {**general_queries.QUERIES}
-ORACLE = {**general_queries.ORACLE}
-
-
-def flagship(spark, sf_dir):
-    return general_queries.p5_found(spark, sf_dir)
+QUERIES = {**er_queries.QUERIES, **general_queries.QUERIES}
+ORACLE = {**er_queries.ORACLE, **general_queries.ORACLE}
+flagship = er_queries.resolve_end_to_end
