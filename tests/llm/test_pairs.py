@@ -48,7 +48,7 @@ def test_alignment_costs():
     assert near_place(a, Address(town="town")) == "partial" and near_place(a, Address()) == "missing"
 
 
-WORDS = ["Kofovapas", "Mebomidal", "Tisosare", "Felesefan", "Jalanarar", "Ribosolen"]
+WORDS = ["Kofovapas", "Mebomidal", "Tisosare", "Felesefan", "Jilonerud", "Ribosolen"]
 
 
 def address_rows():
