@@ -11,7 +11,9 @@ def spark():
     from samewise.session import local_session
 
     session = local_session(4, "tests")
-    session.conf.set("spark.sql.shuffle.partitions", "4")
+    # the tables are tiny: most of the time would go into compiling code and planning again
+    for key, value in {"spark.sql.shuffle.partitions": "2", "spark.sql.codegen.wholeStage": "false", "spark.sql.adaptive.enabled": "false"}.items():
+        session.conf.set(key, value)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
