@@ -270,6 +270,13 @@ def test_matching(spark):
     assert match(empty, spark.createDataFrame(right, SOURCE), labels).count() == 0
 
 
+def test_names_that_share_no_trigram_are_checked(spark):
+    left = [("S1-1", "Patel", "7 Tisosare Street, Riban Falls, NY, 10001", "US"), ("S1-2", "Other Name", "7 Tisosare Street, Riban Falls, NY, 10001", "US")]
+    right = [("S2-1", "Padel", "7 Tisosare Street, Riban Falls, NY, 10001", "US")]
+    pairs = match(spark.createDataFrame(left, SOURCE), spark.createDataFrame(right, SOURCE), spark.createDataFrame([("S1-9", None)], "s1 string, cand string"))
+    assert {(r.s1, r.cand) for r in pairs.where("checked and confidence >= 0.5").collect()} == {("S1-1", "S2-1")}
+
+
 def test_calibration():
     import numpy as np
 
