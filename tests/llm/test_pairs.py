@@ -108,6 +108,13 @@ def test_same_organisations(spark):
     assert same_organisations(df.limit(0), "entity_id", "business_name").count() == 0
 
 
+def test_slips_in_the_first_letters_are_found(spark):
+    names = ["Richard Gafohil Nadova", "R. Gafohilnadova", "Patel", "Padel", "Mebomidal Tisosare", "embomidaltisosare.example"]
+    df = spark.createDataFrame([(f"S1-{i}", n) for i, n in enumerate(names)], "entity_id string, business_name string")
+    found = {tuple(r) for r in same_organisations(df, "entity_id", "business_name").collect()}
+    assert found == {("S1-0", "S1-1"), ("S1-2", "S1-3"), ("S1-4", "S1-5")}
+
+
 def test_cosines_against_brute_force(spark):
     import math
 
