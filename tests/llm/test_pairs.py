@@ -160,6 +160,16 @@ def test_average_linkage_against_brute_force(spark, seed):
     assert {frozenset(v) for v in found.values()} == brute_linkage(edges, 0.35)
 
 
+def test_equal_similarities_merge_to_the_end(spark):
+    clique = [(a, b, 0.8) for a in range(120) for b in range(a + 1, 120)]
+    star = [(1000, 1000 + i, 0.8) for i in range(1, 301)]
+    found = defaultdict(set)
+    for r in average_linkage(spark.createDataFrame(clique + star, "a long, b long, s double"), 0.3).collect():
+        found[r.cluster].add(r.node)
+    assert found[0] == set(range(120))
+    assert sorted(len(v) for v in found.values()) == [1] * 298 + [3, 120]  # a third leaf would have a mean of 0.8 / 3
+
+
 @some
 @given(st.integers(0, 10**6))
 def test_components_against_union_find(spark, seed):
