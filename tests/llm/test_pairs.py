@@ -115,6 +115,14 @@ def test_slips_in_the_first_letters_are_found(spark):
     assert found == {("S1-0", "S1-1"), ("S1-2", "S1-3"), ("S1-4", "S1-5")}
 
 
+def test_all_forms_of_a_name_are_compared(spark):
+    # the same words with and without a given name, which explains the initial, and with other trades
+    names = [*[f"{g}Gafohil Nadova{t}" for g in ("", "Richard ", "Mary ", "Peter ") for t in ("", " Foods", " Dental", " Motors")], "R. Gafohilnadova"]
+    df = spark.createDataFrame([(f"S1-{i:02}", n) for i, n in enumerate(names)], "entity_id string, business_name string")
+    found = {tuple(r) for r in same_organisations(df, "entity_id", "business_name").collect()}
+    assert {("S1-00", "S1-16"), ("S1-04", "S1-16")} <= found and len(found) == 17 * 16 // 2
+
+
 def test_cosines_against_brute_force(spark):
     import math
 
