@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from samewise.session import cut
+
 #: Bound on the number of hot keys.
 PARTS = 20_000
 
@@ -22,35 +24,72 @@ def hot_keys(counts: DataFrame, key: str, n: str, total: int, parts: int = PARTS
     return F.broadcast(counts.where(F.col(n) > max(least, total // parts)).select(key, n))
 
 
-def salted_pairs(df: DataFrame, bucket: list[str], item: str, block: int = 256) -> DataFrame:
+#: Buckets that keys are counted in, so a table of the heavy ones has a bound.
+BUCKETS = 1 << 16
+
+
+def join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join by shuffle of two tables that both grow with the data, whatever the size of their files.
+
+    A compressed table may look small enough to be broadcast and be too large once it is read; the hint keeps
+    Spark from that, also when it plans anew at run time. Skewed partitions are split by adaptive execution.
+    """
+    return left.hint("merge").join(right.hint("merge"), on, how)
+
+
+def _heavy(df: DataFrame, keys: list[str], most: int, name: str) -> DataFrame:
+    """``__h, <name>``: buckets of keys that hold many rows, and in how many blocks they are laid out.
+
+    The rows are counted in ``BUCKETS`` hash buckets, before the shuffle in each task, so nothing of the size of
+    the keys is moved. A bucket is heavy with more than ``most`` rows and with more than eight times the mean; there are
+    fewer than ``BUCKETS`` of them, whatever the data.
+    """
+    counts = df.select(_bucket(keys).alias("__h")).groupBy("__h").agg(F.count("*").alias("__n"))
+    mean = counts.agg((F.sum("__n") / BUCKETS).alias("__mean"))
+    limit = F.greatest(F.lit(float(most)), 8.0 * F.col("__mean"))
+    return counts.join(F.broadcast(mean), F.col("__n") > limit).select("__h", F.ceil(F.col("__n") / limit).cast("int").alias(name))
+
+
+def _bucket(keys: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+
+
+def salted_pairs(df: DataFrame, bucket: list[str], item: str, block: int = 1024) -> DataFrame:
     """All unordered pairs ``a < b`` of the distinct ``item`` of each bucket, as ``bucket..., a, b``.
 
-    A bucket of ``n`` items is laid out as ``ceil(n / block)`` blocks and each pair of blocks is its own
-    join key, so no task ever holds a whole large bucket. Nothing is dropped or capped.
-    ``df`` must be distinct on ``bucket + item``. Null items or bucket keys pair with nothing.
+    A bucket of more than ``block`` items is laid out in blocks, and each pair of blocks is its own join key, so no
+    task ever holds a whole large bucket. Nothing is dropped or capped. Both sides of the join are one table, so
+    its shuffle is made once. ``df`` must be distinct on ``bucket + item``, and is read twice: it should be a stored
+    table. Null items or bucket keys pair with nothing.
     """
-    df = df.where(F.col(item).isNotNull())
-    sizes = df.groupBy(*bucket).agg(F.count("*").alias("__n")).where("__n > 1")
-    blocks = F.ceil(F.col("__n") / F.lit(block)).cast("int")
-    sized = df.join(sizes, bucket).withColumn("__k", blocks).withColumn("__b", F.pmod(F.xxhash64(item), "__k").cast("int"))
-    left = sized.select(*bucket, F.col(item).alias("a"), F.col("__b").alias("__i"), F.explode(F.sequence("__b", F.col("__k") - 1)).alias("__j"))
-    right = sized.select(*bucket, F.col(item).alias("b"), F.col("__b").alias("__j"), F.explode(F.sequence(F.lit(0), "__b")).alias("__i"))
-    both = left.join(right, [*bucket, "__i", "__j"])
-    a, b = F.least("a", "b"), F.greatest("a", "b")
-    keep: Column = (F.col("__i") < F.col("__j")) | (F.col("a") < F.col("b"))
-    return both.where(keep & (F.col("a") != F.col("b"))).select(*bucket, a.alias("a"), b.alias("b"))
-
-
-def salted_join(left: DataFrame, right: DataFrame, key: str, block: int = 512) -> DataFrame:
-    """Inner join of two tables on ``key``; a key with many rows on either side is split.
-
-    ``n`` rows of a key on one side are laid out as ``ceil(n / block)`` blocks, the other side is sent to each of them,
-    and both sides are split so: a task meets at most ``block`` by ``block`` rows of a key at a time. The other columns must have
-    different names. NULL keys join with nothing.
+    df = df.where(F.col(item).isNotNull()).select(*bucket, F.col(item).alias("__item"))
+    large = cut(df.groupBy(*bucket).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("__k")).where("__k > 1"), "large")
+    sized = df.join(F.broadcast(large), bucket, "left") if large.count() <= BUCKETS else join(df, large, bucket, "left")
+    own = F.when(F.col("__k").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("__item"), F.col("__k")).cast("int"))
+    laid = sized.withColumn("__b", own).withColumn("__o", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__k"), F.lit(1)) - 1)))
+    laid = laid.select(*bucket, F.least("__b", "__o").alias("__lo"), F.greatest("__b", "__o").alias("__hi"), "__b", "__item")
+    right = laid.select(*bucket, "__lo", "__hi", F.col("__b").alias("__b2"), F.col("__item").alias("__item2"))
+    both = join(laid, right, [*bucket, "__lo", "__hi"])
+    keep = (F.col("__item") < F.col("__item2")) & ((F.col("__lo") == F.col("__hi")) | (F.col("__b") != F.col("__b2")))
+    return both.where(keep).select(*bucket, F.col("__item").alias("a"), F.col("__item2").alias("b"))
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, block: int = 20_000) -> DataFrame:
+    """Inner join of two tables on ``key``; keys with many rows on either side are split.
+
+    A heavy bucket of keys (see above) is laid out in blocks of about ``block`` rows on its side, the other side is
+    sent to each of them, and both sides are split so: a task meets a block by a block at a time. Each side is shuffled
+    once. The other columns must have different names. NULL keys join with nothing.
     """
-    both = left.groupBy(key).agg(F.count("*").alias("__l")).join(right.groupBy(key).agg(F.count("*").alias("__r")), key)
-    shape = both.select(key, F.ceil(F.col("__l") / block).cast("int").alias("__kl"), F.ceil(F.col("__r") / block).cast("int").alias("__kr"))
-    at = lambda df, k: F.pmod(F.xxhash64(*[c for c in df.columns if c != key]), k).cast("int")
-    x = left.join(shape, key).withColumn("__i", at(left, F.col("__kl"))).withColumn("__j", F.explode(F.sequence(F.lit(0), F.col("__kr") - 1))).drop("__kl", "__kr")
-    y = right.join(shape, key).withColumn("__j", at(right, F.col("__kr"))).withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__kl") - 1))).drop("__kl", "__kr")
-    return x.join(y, [key, "__i", "__j"]).drop("__i", "__j")
+    shapes = [F.broadcast(_heavy(d, [key], block, k)) for d, k in ((left, "__kl"), (right, "__kr"))]
+
+    def laid(df: DataFrame, mine: str, theirs: str) -> DataFrame:
+        at = F.pmod(F.xxhash64(*[c for c in df.columns if c != key], F.lit(1)), F.coalesce(F.col(mine), F.lit(1))).cast("int")
+        d = df.where(F.col(key).isNotNull()).withColumn("__h", _bucket([key]))
+        for s in shapes:
+            d = d.join(s, "__h", "left")
+        own, other = ("__i", "__j") if mine == "__kl" else ("__j", "__i")
+        d = d.withColumn(own, at).withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(theirs), F.lit(1)) - 1)))
+        return d.drop("__kl", "__kr", "__h")
+
+    return join(laid(left, "__kl", "__kr"), laid(right, "__kr", "__kl"), [key, "__i", "__j"]).drop("__i", "__j")

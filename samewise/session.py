@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -65,8 +64,3 @@ def drop(df: DataFrame | None) -> None:
         if "/samewise-" in folder:
             where = jvm.org.apache.hadoop.fs.Path(folder)
             where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
-
-
-def remove_local(path: str) -> None:
-    """Remove a local folder, if it is there."""
-    shutil.rmtree(path, ignore_errors=True)
