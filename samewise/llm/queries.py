@@ -14,7 +14,7 @@ from samewise.llm.places import same_places
 from samewise.llm.splits import assign_splits, entity_components
 from samewise.llm.topn import top_n
 from samewise.llm.variants import same_organisations
-from samewise.operators.hot import salted_pairs
+from samewise.operators.hot import join, salted_pairs
 from samewise.operators.packed import explode_packed
 from samewise.session import cut, table
 
@@ -31,18 +31,21 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.select(standard_s1("source1_entity_id").alias("s1"), F.lit(None).cast("string").alias("cand")).unionByName(pairs).distinct()
 
 
-def p2_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidate pairs of Source 1 records with Source 2 and 3, and their confidence."""
+def _matches(spark: SparkSession, sf_dir: str, least: float) -> DataFrame:
     columns = ["entity_id", "business_name", "business_address", "country"]
     left, two, three = (table(spark, sf_dir, f"train_source{k}").select(columns) for k in (1, 2, 3))
-    return match(left, two.unionByName(three), _labels(spark, sf_dir))
+    return match(left, two.unionByName(three), _labels(spark, sf_dir), least=least)
+
+
+def p2_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate pairs of Source 1 records with Source 2 and 3, and their confidence."""
+    return _matches(spark, sf_dir, 0.0)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches held to be true of the Source 1 records that have no label."""
     known = _labels(spark, sf_dir).select("s1").distinct()
-    found = p2_matches(spark, sf_dir).where("checked and confidence >= 0.5")
-    return found.join(known, "s1", "left_anti").select("s1", "cand")
+    return join(_matches(spark, sf_dir, 0.5), known, "s1", "left_anti").select("s1", "cand")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
