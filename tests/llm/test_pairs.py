@@ -12,7 +12,8 @@ from samewise.functions.ids import standard_s1
 from samewise.llm import leakage as L
 from samewise.llm.addresses import Address, alignment_cost, near_place, read_address, same_place
 from samewise.llm.components import hash_to_min
-from samewise.llm.matching import PRIOR, calibrate, match
+from samewise.llm import matching as K
+from samewise.llm.matching import match
 from samewise.llm.names import edits, read_name, same_name
 from samewise.llm.places import same_places
 from samewise.llm.splits import assign_splits, entity_components, rendezvous
@@ -288,27 +289,64 @@ def test_matching(spark):
     left = [("S1-1", "Kofovapas Mebomir Foods LLC", "7 Tisosare Street, Riban Falls, NY, 10001", "US"), ("S1-2", "Kofovapas Mebomir Foods LLC", "99 Other Road, Elsewhere, CA, 90001", "US"), ("S1-3", "Jelaben Nogavir Dental", "", None), (None, "x", "y", "z"), ("S1-4", None, None, None)]
     right = [("S2-1", "KOFOVAPAS MEBOMIR FDS", "Tisosare St. No. 7, 10001", ""), ("S2-2", "Kofovapas Mebomri Foods", "Riban Falls, NY", "US"), ("S3-3", "jelabennogavir.example", "12 Nowhere Lane, Town, 20002", "US"), ("S3-4", "", "99 Other Rd, Elsewhere 90001", "US"), ("S3-5", "Unrelated Something Motors", "7 Tisosare Street, 10001", "US"), ("S3-6", "", "", ""), ("S2-1", "KOFOVAPAS MEBOMIR FDS", "Tisosare St. No. 7, 10001", "")]
     labels = spark.createDataFrame([("S1-9", None)], "s1 string, cand string")
-    pairs = match(spark.createDataFrame(left, SOURCE), spark.createDataFrame(right, SOURCE), labels)
-    found = {(r.s1, r.cand) for r in pairs.where("checked and confidence >= 0.5").collect()}
+    pairs = match(spark.createDataFrame([(*r, "clash") for r in left], f"{SOURCE}, form string"), spark.createDataFrame(right, SOURCE), labels)
+    found = {(r.s1, r.cand) for r in pairs.where("confidence >= 0.5").collect()}
     assert found == {("S1-1", "S2-1"), ("S1-1", "S2-2"), ("S1-3", "S3-3"), ("S1-2", "S3-4")}
     empty = spark.createDataFrame([], SOURCE)
     assert match(empty, spark.createDataFrame(right, SOURCE), labels).count() == 0
 
 
-def test_names_that_share_no_trigram_are_checked(spark):
+def test_names_that_share_no_trigram_are_found(spark):
     left = [("S1-1", "Patel", "7 Tisosare Street, Riban Falls, NY, 10001", "US"), ("S1-2", "Other Name", "7 Tisosare Street, Riban Falls, NY, 10001", "US")]
     right = [("S2-1", "Padel", "7 Tisosare Street, Riban Falls, NY, 10001", "US")]
     pairs = match(spark.createDataFrame(left, SOURCE), spark.createDataFrame(right, SOURCE), spark.createDataFrame([("S1-9", None)], "s1 string, cand string"))
-    assert {(r.s1, r.cand) for r in pairs.where("checked and confidence >= 0.5").collect()} == {("S1-1", "S2-1")}
+    assert {(r.s1, r.cand) for r in pairs.where("confidence >= 0.5").collect()} == {("S1-1", "S2-1")}
+
+
+def test_all_pairs_within_the_radius_are_found(spark):
+    rng = random.Random(4)
+    base = ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeio") for _ in range(8)) for _ in range(12)]
+
+    def slip(w):
+        i = rng.randrange(len(w))
+        return rng.choice([w[:i] + rng.choice("xyz") + w[i + 1 :], w[:i] + w[i + 1 :], w])
+
+    rows = [(f"{side}-{k:03}", f"{w[:8].title()} {w[8:].title()}", place, "US") for side in ("S1", "S2") for k in range(60) for w in [slip(slip(rng.choice(base)))] for place in [rng.choice(["7 Tisosare Street, Riban Falls, 10001", "Riban Falls", "10001", ""])]]
+    forms = [K.read_records(spark.createDataFrame([r for r in rows if r[0].startswith(s)], SOURCE), *SOURCE.replace(" string", "").split(", ")).withColumnRenamed("id", "form") for s in ("S1", "S2")]
+    found = {(r.a, r.b) for r in K.candidates(*forms).collect()}
+
+    def wide(name):
+        tri, out = K.grams(K.read_name(name).words, 3), {}
+        for x in tri:
+            h = K._hash(x)
+            k = (h & 0xFFFFFF) % K.CHUNKS
+            out[k] = out.get(k, 0) | 1 << ((h >> 24) & 63)
+        return out, tri
+
+    seen = 0
+    for i, n, p, _ in rows[:60]:
+        for j, m, q, _ in rows[60:]:
+            (x, tx), (y, ty) = wide(n), wide(m)
+            apart = sum((x.get(k, 0) ^ y.get(k, 0)).bit_count() for k in {*x, *y})
+            size = 2 if not p or not q or {p, q} & {"10001", ""} and p != q and "10001" not in (p[-5:], q[-5:]) else 1
+            shared = p and q and (p == q or {p, q} == {"Riban Falls", rows[0][2]}) or "" in (p, q)
+            if shared and apart <= max(len(x), len(y)) - (2 if "" in (p, q) else size) and 2 * len(tx & ty) >= K.LEAST * (len(tx) + len(ty)):
+                seen += 1
+                assert (i, j) in found, (n, p, m, q)
+    assert seen > 50
 
 
 def test_calibration():
     import numpy as np
 
-    none = np.array([])
-    assert np.allclose(calibrate(none, none, none), PRIOR)
+    start = K.prior("full")
+    none = np.zeros((0, len(K.FIELDS)))
+    assert np.allclose(K.calibrate(none, np.array([]), np.array([]), start), start)
     rng = np.random.default_rng(0)
-    s = rng.random(5000)
-    y = (rng.random(5000) < 1 / (1 + np.exp(-(6 * s - 3)))).astype(float)
-    w = calibrate(s, np.zeros(5000), y)
-    assert abs(w[0] + 3) < 0.6 and abs(w[1] - 6) < 0.8
+    x = np.full((5000, len(K.FIELDS)), np.nan)
+    x[:, 0] = rng.random(5000)
+    y = (rng.random(5000) < 1 / (1 + np.exp(-(6 * x[:, 0] - 3)))).astype(float)
+    p = 1 / (1 + np.exp(-(K.design(x) @ K.calibrate(x, y, np.ones(5000), np.zeros(len(start))))))
+    for lo in (0.1, 0.4, 0.7):
+        some = (p >= lo) & (p < lo + 0.2)
+        assert abs(p[some].mean() - y[some].mean()) < 0.05
