@@ -24,7 +24,7 @@ TRADES = {
 TRADE = {w: k for k, ws in TRADES.items() for w in [k, *ws.split()]}
 #: Given names and what they are called for short (fixed values).
 GIVEN = {
-    "alexander": "alex alec sandy", "antoine": "ant anthony antony tony", "elizabeth": "beth liz lizzie betty eliza", "frederic": "fred frederick freddy", "james": "jim jimmy jas", "katherine": "kate kathy katie catherine kath",
+    "alexander": "alex alec sandy", "antoine": "ant anthony antony tony toine", "elizabeth": "beth liz lizzie betty eliza", "frederic": "fred frederick freddy", "james": "jim jimmy jas", "katherine": "kate kathy katie catherine kath",
     "krishna": "krsna kishan krishnan krish", "lakshmi": "luxmi laxmi lakshmy", "margaret": "maggie meg peggy peg marge", "michael": "mick mike mich mickey", "mohammed": "mohd md mohamed muhammad mohammad mohamad",
     "richard": "rich rick dick ricky", "robert": "bob rob bobby robt", "theodore": "ted theo teddy", "venkatesh": "venky venkat venkatesan", "william": "will bill wm billy willy", "john": "jon johnny", "joseph": "joe jos", "charles": "charlie chas",
     "thomas": "tom tommy thos", "george": "geo", "edward": "ed eddie ned", "david": "dave", "daniel": "dan danny", "mary": "marie maria", "anne": "ann anna", "jean": "", "pierre": "", "paul": "", "peter": "pete", "ram": "rama", "rajesh": "raj",
@@ -158,10 +158,13 @@ def _same_name(a: Name, b: Name) -> bool | None:
     """Whether two names mean one organisation; None if one of them has no word.
 
     All distinctive words have to agree, in any order, run together or torn apart, up to single errors; an
-    initial stands for a word or given name that begins with it. A shared word alone is not enough.
+    initial stands for a word or given name that begins with it. A shared word alone is not enough, and names that
+    both state trades must have one in common.
     """
     if not a.words or not b.words:
         return None
+    if a.trades and b.trades and not set(a.trades) & set(b.trades):
+        return False  # the same words in another trade are another organisation
     if a.words == b.words:
         return True
     x, y = "".join(w for w in a.words if len(w) > 1), "".join(w for w in b.words if len(w) > 1)
@@ -172,7 +175,7 @@ def _same_name(a: Name, b: Name) -> bool | None:
             return True
         # words run together beside an initial: it has to stand for the other's given name or initial
         mine, theirs = ({w for w in z.words if len(w) == 1} for z in (a, b))
-        if all(any(g[0] == w for g in b.given) for w in mine - theirs) and all(any(g[0] == w for g in a.given) for w in theirs - mine):
+        if all(any(fold(g[0]) == w for g in b.given) for w in mine - theirs) and all(any(fold(g[0]) == w for g in a.given) for w in theirs - mine):
             return True
     if full and x and y and min(len(a.words), len(b.words)) == 1 and not (a.domain or b.domain):
         turned = "".join(reversed(a.words)), "".join(reversed(b.words))
@@ -211,6 +214,6 @@ def _same_name(a: Name, b: Name) -> bool | None:
             if hit is not None:
                 theirs.remove(hit)
                 mine.remove(w)
-            elif any(g[0] == w for g in given):
+            elif any(fold(g[0]) == w for g in given):
                 mine.remove(w)
     return not left and not right and (bool(set(a.trades) & set(b.trades)) or not a.trades or not b.trades)

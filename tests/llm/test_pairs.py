@@ -18,7 +18,8 @@ from samewise.llm.names import edits, read_name, same_name
 from samewise.llm.places import same_places
 from samewise.llm.splits import assign_splits, entity_components, rendezvous
 from samewise.llm.topn import top_n
-from samewise.llm.variants import average_linkage, cosine_pairs, same_organisations
+from samewise.llm import variants as V
+from samewise.llm.variants import average_linkage, same_organisations
 
 some = settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
 
@@ -128,23 +129,34 @@ def test_cosines_against_brute_force(spark):
     import math
 
     rng = random.Random(1)
-    docs = [(i, sorted({rng.randint(0, 25) for _ in range(rng.randint(1, 8))})) for i in range(60)]
-    n = len(docs)
+    word = lambda: "".join(rng.choice("bdklmn") + rng.choice("aeo") for _ in range(rng.randint(1, 4))) if rng.random() < 0.9 else rng.choice("bdk")
+    docs = sorted({tuple(word() for _ in range(rng.randint(1, 3))) for _ in range(150)})
+    n, terms = len(docs), [V.views(list(w), [], [])[0] for w in docs]
     df = defaultdict(int)
-    for _, t in docs:
+    for t in terms:
         for x in t:
             df[x] += 1
-    vec = {}
-    for i, t in docs:
-        w = {x: math.log((1 + n) / (1 + df[x])) + 1 for x in t}
-        length = math.sqrt(sum(x * x for x in w.values()))
-        vec[i] = {x: y / length for x, y in w.items()}
-    want = {(a, b): s for a in vec for b in vec if a < b and (s := sum(vec[a][x] * vec[b].get(x, 0) for x in vec[a])) >= 0.3}
-    rows = cosine_pairs(spark.createDataFrame(docs, "d long, t array<int>"), "d", "t", 0.3).collect()
-    assert {(r.a, r.b) for r in rows} == set(want)
-    assert all(r.cosine == pytest.approx(want[r.a, r.b], abs=1e-5) for r in rows)
-    top = cosine_pairs(spark.createDataFrame(docs, "d long, t array<int>"), "d", "t", 0.3, top=1).collect()
-    assert {i for i, _ in docs if any(i in p for p in want)} == {x for r in top for x in (r.a, r.b)}
+
+    def vector(terms):
+        w = {x: math.log((1 + n) / (1 + df[x])) + 1 for x in terms}
+        length = math.sqrt(sum(y * y for y in w.values()))
+        return {x: y / length for x, y in w.items()}
+
+    dot = lambda x, y: sum(v * y.get(t, 0) for t, v in x.items())
+    vec = [vector(t) for t in terms]
+    cos = {(a, b): dot(vec[a], vec[b]) for a in range(n) for b in range(a + 1, n)}
+    for a, w in enumerate(docs):
+        for b, v in enumerate(docs):
+            if any(len(x) == 1 for x in w) and a != b:
+                k = (min(a, b), max(a, b))
+                cos[k] = max([cos[k], *(dot(vec[a], vector(t)) for t in V.views(list(v), [], [])[1])])
+    made = V.vectors(spark.createDataFrame([(k, list(w), [], [], [], False) for k, w in enumerate(docs)], f"doc long, {V.NAME}"))
+    weighted = V.cut(V.weigh(made, n))
+    found = {(r.a, r.b): r.cosine for r in V.cosine_join(weighted).collect()}
+    want = {k for k, c in cos.items() if c >= V.COSINE + 1e-6}
+    assert want <= set(found) and all(cos[k] == pytest.approx(c, abs=1e-5) for k, c in found.items()) and len(want) > 100
+    top = {(r.a, r.b) for r in V.cosine_join(weighted, top=1).collect()}
+    assert top <= set(found) and {x for p in found for x in p} == {x for p in top for x in p}
 
 
 def brute_linkage(edges, least):
