@@ -5,15 +5,18 @@ from __future__ import annotations
 import re
 import unicodedata
 from dataclasses import dataclass
+from functools import lru_cache
 
-#: Street kinds and their writings (fixed values).
-KINDS = {
-    "rd": "rd road raod", "st": "st street str", "ave": "ave avenue av aven avn", "dr": "dr drive drv", "ln": "ln lane la gali gully galli",
-    "blvd": "blvd boulevard boul bd bld", "hwy": "hwy highway hiway", "ter": "ter terrace terr", "ct": "ct court crt", "pl": "pl place",
-    "marg": "marg mg maarg", "rue": "rue r", "ch": "chemin chem", "all": "allee all", "imp": "impasse imp", "crs": "cours crs", "qua": "quai qu q",
-    "way": "way wy", "cir": "circle cir", "sq": "square sq", "pkwy": "parkway pkwy",
+from samewise.functions.dictionaries import ADDRESS, STATES
+
+#: Further writings of the normaliser's street kinds, and kinds that it lacks (fixed values).
+_WRITINGS = {
+    "rd": "rd raod", "st": "st str", "ave": "ave aven avn", "dr": "dr drv", "ln": "ln la gali gully galli", "blvd": "blvd boul bld", "hwy": "hwy hiway", "ter": "ter terr", "ct": "ct crt", "pl": "pl",
+    "marg": "marg mg maarg", "rue": "rue r", "ch": "chem", "all": "all", "imp": "imp", "crs": "crs", "qua": "qu q", "way": "way wy", "cir": "circle cir", "sq": "square sq", "pkwy": "parkway pkwy",
 }
-KIND = {w: k for k, ws in KINDS.items() for w in ws.split()}
+#: Street kinds and their writings.
+KINDS = {k: sorted({*v.split(), *(w for w, short in ADDRESS.items() if short == k and w not in ("ali", "impase"))}) for k, v in _WRITINGS.items()}
+KIND = {w: k for k, ws in KINDS.items() for w in ws}
 #: Kinds that stand before the name of the street wherever they are used; others do so in France.
 LEADING = {"rue", "ch", "all", "imp", "crs", "qua"}
 #: Short writings that are a street kind only beside a number or a name, never inside one.
@@ -25,14 +28,11 @@ LANDMARK = set("near nr opp opposite behind beside bhd besides adjacent adj faci
 MARKERS = set("no num number plot door house h hno nos n° numero pin pincode zip cedex".split())
 NOTHING = set("null none nan na n/a nil unknown - india us usa u.s. france united states".split())
 
-#: Regions and their codes by country (fixed values: the public postal abbreviations).
-_REGIONS = {
-    "us": "alabama al alaska ak arizona az arkansas ar california ca colorado co connecticut ct delaware de florida fl georgia ga hawaii hi idaho id illinois il indiana in iowa ia kansas ks kentucky ky louisiana la maine me maryland md massachusetts ma michigan mi minnesota mn mississippi ms missouri mo montana mt nebraska ne nevada nv new_hampshire nh new_jersey nj new_mexico nm new_york ny north_carolina nc north_dakota nd ohio oh oklahoma ok oregon or pennsylvania pa rhode_island ri south_carolina sc south_dakota sd tennessee tn texas tx utah ut vermont vt virginia va washington wa west_virginia wv wisconsin wi wyoming wy",
-    "india": "andhra_pradesh ap arunachal_pradesh ar assam as bihar br chhattisgarh cg goa ga gujarat gj haryana hr himachal_pradesh hp jharkhand jh karnataka ka kerala kl madhya_pradesh mp maharashtra mh manipur mn meghalaya ml mizoram mz nagaland nl odisha od orissa od punjab pb rajasthan rj sikkim sk tamil_nadu tn telangana ts tripura tr uttar_pradesh up uttarakhand uk west_bengal wb delhi dl",
-    "france": "ile_de_france idf auvergne_rhone_alpes ara nouvelle_aquitaine naq occitanie occ provence_alpes_cote_d_azur pac hauts_de_france hdf pays_de_la_loire pdl bretagne bre grand_est ges normandie nor bourgogne_franche_comte bfc centre_val_de_loire cvl corse cor",
-}
-REGION_CODES = {c: set(v.split()[1::2]) for c, v in _REGIONS.items()}
-_NAMES = {n.replace("_", " "): k for v in _REGIONS.values() for n, k in zip(v.split()[::2], v.split()[1::2])}
+#: Codes of regions that addresses use beside the normaliser's (fixed values: ISO 3166-2:IN writes Goa GA, addresses also OR for Odisha).
+_MORE = {"us": {"dc"}, "india": {"or", "ct", "tg", "ut"}, "france": set()}
+REGION_CODES = {land: {*names.values()} | _MORE[land] for land, names in STATES.items()}
+#: Names of regions and their codes; a name of several countries' regions has the last one's.
+_NAMES = {name: code for names in STATES.values() for name, code in names.items()}
 _REGION = re.compile(r"\b(" + "|".join(sorted(map(re.escape, _NAMES), key=len, reverse=True)).replace(r"\ ", "[ -]+") + r")\b")
 
 _INVISIBLE = dict.fromkeys(map(ord, "​‌‍⁠﻿­"))
@@ -77,6 +77,8 @@ class Address:
     town: str = ""
     region: str = ""
     postcode: str = ""
+    #: The tokens behind the parts as they are written, each with its part's letter: ``n12 smain kstreet tspringfield p62701``.
+    tokens: str = ""
 
 
 def read_address(text: str | None, country: str | None = None) -> Address:
@@ -111,7 +113,7 @@ def read_address(text: str | None, country: str | None = None) -> Address:
     codes = REGION_CODES["france"] if land.startswith("fr") else REGION_CODES["india"] if land.startswith("in") else REGION_CODES["us"] if land.startswith("u") else set().union(*REGION_CODES.values())
     places: list[str] = []
     groups: list[list[str]] = []
-    alone, run_on = -1, False
+    alone, run_on, street_words, kind_word = -1, False, [], ""
     for tokens in parts:
         if tokens[0][0] == "=" or (len(tokens) == 1 and tokens[0] in codes):
             out.region = out.region or tokens[0].lstrip("=")
@@ -146,7 +148,7 @@ def read_address(text: str | None, country: str | None = None) -> Address:
                 k = later[0] if later else kinds[-1]
                 name, rest = words[:k], words[k + 1 :]
             if k >= 0:
-                out.kind = KIND[words[k]]
+                out.kind, kind_word = KIND[words[k]], words[k]
             name = [w for w in name if w not in ("main", "mn")] or name
         elif at >= 0 and out.number == tokens[at].lstrip("#").lstrip("0"):
             name, rest = words, []
@@ -154,7 +156,7 @@ def read_address(text: str | None, country: str | None = None) -> Address:
         else:
             rest = words
         if name:
-            groups_name = name
+            groups_name = street_words = name
             out.street = fold("".join(name).replace("-", ""))
         places += rest
         groups.append(rest)
@@ -162,6 +164,7 @@ def read_address(text: str | None, country: str | None = None) -> Address:
         name = groups_name[:1]
         places = groups_name[1:]
         out.street = fold(name[0])
+        street_words = name
     if not out.street and alone >= 0 and groups:
         # a number of its own and no street kind: the street is the part behind, or the only one before
         at = 0 if alone == 1 and groups[0] else alone if alone < len(groups) else -1
@@ -171,90 +174,143 @@ def read_address(text: str | None, country: str | None = None) -> Address:
                 name = name[:1]
             rest = groups[at][len(name) :]
             out.street = fold("".join(name).replace("-", ""))
+            street_words = name
             places = [w for g in groups[:at] for w in g] + rest + [w for g in groups[at + 1 :] for w in g]
-    out.town = fold("".join(w for w in places if w not in ("main", "mn")).replace("-", ""))
+    town_words = [w for w in places if w not in ("main", "mn")]
+    out.town = fold("".join(town_words).replace("-", ""))
+    tokens = [("n", [out.number]), ("s", street_words), ("k", [kind_word]), ("t", town_words), ("r", [out.region]), ("p", [out.postcode])]
+    out.tokens = " ".join(part + w.replace("-", "") for part, words in tokens for w in words if w)
     return out
 
 
-#: Costs of the token alignment: a part that only one address has opens or extends a gap; parts of one kind
-#: that differ cost their share of edits times the weight of the kind. Above LIMIT two addresses differ.
+#: Costs of the token alignment. A gap opens and is extended at these costs; what only one address has may cost
+#: something besides. Above LIMIT two addresses differ.
 GAP_OPEN, GAP_EXTEND, LIMIT = 0.25, 0.1, 1.75
-WEIGHTS = {"number": 9.0, "street": 3.2, "kind": 0.7, "town": 2.4, "region": 0.6, "postcode": 1.5}
+#: Weights of the edits in a street, a town and a postcode, each as a share of its letters, and of differing kinds and regions.
+STREET, TOWN, POSTCODE, KIND_COST, REGION_COST = 3.2, 2.4, 1.5, 0.7, 0.6
+#: A word misread as one of the other part, a kind of street misspelt, and what can never be.
+CROSSED, MISSPELT, NEVER = 0.3, 0.2, 99.0
+
+
+@lru_cache(maxsize=1 << 16)
+def _edits(a: str, b: str) -> int:
+    from samewise.llm.names import edits
+
+    return 0 if a == b else edits(a, b, max(1, max(len(a), len(b)) // 2))
+
+
+@lru_cache(maxsize=1 << 16)
+def _word(a: str, b: str) -> int:
+    """Edits between two words, in the spelling of their sounds if that is nearer."""
+    return min(_edits(a, b), _edits(fold(a), fold(b)))
 
 
 def _share(a: str, b: str) -> float:
     """Edits between two words as a share of their length; swaps of neighbours count once."""
-    from samewise.llm.names import edits
+    return _edits(a, b) / max(len(a), len(b))
+
 
-    longest = max(len(a), len(b))
-    most = max(1, longest // 2)
-    return edits(a, b, most) / longest
+@lru_cache(maxsize=1 << 16)
+def _kind_cost(word: str, kind: str) -> float:
+    """The cost of ``word`` where a street kind is: nothing for a writing of the same kind in the dictionary, little for a misspelt one."""
+    own = KIND.get(kind)
+    if KIND.get(word) == own:
+        return 0.0
+    if any(len(w) > 2 and _edits(word, w) <= (1 if len(w) < 6 else 2) for w in KINDS.get(own, ())):
+        return MISSPELT
+    return KIND_COST if word in KIND else NEVER
 
 
-def alignment_cost(a: Address, b: Address) -> float:
-    """Affine-gap alignment of the two token sequences number, street, kind, town, region, postcode.
+def substitution(x: str, y: str, street: int, town: int) -> float:
+    """The cost of aligning two tokens; ``street`` and ``town`` are the letters of the longer street and town.
 
-    Writings of one kind of street and of one region have been read by the abbreviation dictionaries
-    and cost nothing. Tokens align only with tokens of their kind, so the best alignment is unique but for
-    its gaps; a run of missing parts is one gap.
+    The abbreviation dictionaries make writings of one street kind equal; other words cost their edits.
     """
-    total, gap = 0.0, False
-    for part in ("number", "street", "kind", "town", "region", "postcode"):
-        x, y = getattr(a, part), getattr(b, part)
-        if x == y:
-            gap = gap and not x
-            continue
-        if not x or not y:
-            total += GAP_EXTEND if gap else GAP_OPEN
-            gap = True
-            continue
-        gap = False
-        share = 1.0 if part in ("number", "kind", "region") else _share(x, y)
-        total += WEIGHTS[part] * share
-        if part == "postcode" and share > 0.4:
-            total += LIMIT
-    return total
+    p, q, a, b = x[0], y[0], x[1:], y[1:]
+    if p == q:
+        if a == b:
+            return 0.0
+        if p == "s":
+            return STREET * _word(a, b) / street
+        if p == "t":
+            return TOWN * _word(a, b) / town
+        if p == "k":
+            return _kind_cost(a, b)
+        if p == "r":
+            return REGION_COST
+        if p == "p":
+            share = _share(a, b)
+            return POSTCODE * share + (LIMIT if share > 0.4 else 0.0)
+        return NEVER
+    if {p, q} == {"s", "k"}:
+        return _kind_cost(*((a, b) if q == "k" else (b, a)))
+    if {p, q} == {"s", "t"}:
+        return CROSSED + STREET * _word(a, b) / min(street, town)
+    return NEVER
+
+
+def _lost(token: str, street: int, town: int, there: set[str]) -> float:
+    """What a token without a partner costs beside the gap; ``there`` are the parts that the other address has.
+
+    A part that the other address lacks is merely missing. One that both have costs as much, left out on both sides, as
+    the worst substitution, so differing parts are not passed off as missing ones.
+    """
+    part, size = token[0], len(token) - 1
+    if part == "n":
+        return NEVER
+    if part == "s":
+        return STREET * size / street
+    if part not in there:
+        return 0.0
+    return {"t": TOWN / 2 * size / town, "k": KIND_COST / 2, "r": REGION_COST / 2, "p": LIMIT}[part]
+
+
+def alignment_cost(a: str, b: str, most: float = NEVER) -> float:
+    """Affine-gap alignment of two token sequences (see :attr:`Address.tokens`), by dynamic programming.
+
+    Three tables hold the cheapest alignments that end in a pair of tokens, in a gap on the left or in one on the right: a
+    run of missing tokens opens one gap. Two tokens may also align with one that is both run together. Ends early,
+    with a cost above ``most``, once no alignment can stay within it.
+    """
+    x, y = a.split(), b.split()
+    street = max(1, *(sum(len(t) - 1 for t in side if t[0] == "s") for side in (x, y)))
+    town = max(1, *(sum(len(t) - 1 for t in side if t[0] == "t") for side in (x, y)))
+    n, m = len(x), len(y)
+    lose = [[_lost(t, street, town, {u[0] for u in other}) for t in side] for side, other in ((x, y), (y, x))]
+    pair = [[NEVER] * (m + 1) for _ in range(n + 1)]
+    left, right = [r[:] for r in pair], [r[:] for r in pair]
+    pair[0][0] = 0.0
+    for i in range(n + 1):
+        for j in range(m + 1):
+            if i:
+                left[i][j] = lose[0][i - 1] + min(min(pair[i - 1][j], right[i - 1][j]) + GAP_OPEN, left[i - 1][j] + GAP_EXTEND)
+            if j:
+                right[i][j] = lose[1][j - 1] + min(min(pair[i][j - 1], left[i][j - 1]) + GAP_OPEN, right[i][j - 1] + GAP_EXTEND)
+            if i and j:
+                before = min(pair[i - 1][j - 1], left[i - 1][j - 1], right[i - 1][j - 1])
+                best = before + substitution(x[i - 1], y[j - 1], street, town) if before <= most else NEVER
+                if i > 1 and x[i - 2][0] == x[i - 1][0] == y[j - 1][0] and x[i - 1][0] in "st":
+                    before = min(pair[i - 2][j - 1], left[i - 2][j - 1], right[i - 2][j - 1])
+                    best = min(best, before + substitution(x[i - 2] + x[i - 1][1:], y[j - 1], street, town))
+                if j > 1 and y[j - 2][0] == y[j - 1][0] == x[i - 1][0] and y[j - 1][0] in "st":
+                    before = min(pair[i - 1][j - 2], left[i - 1][j - 2], right[i - 1][j - 2])
+                    best = min(best, before + substitution(x[i - 1], y[j - 2] + y[j - 1][1:], street, town))
+                pair[i][j] = best
+        if i and min(*pair[i], *left[i], *right[i]) > most:
+            return NEVER
+    return min(pair[n][m], left[n][m], right[n][m])
 
 
 def same_place(a: Address, b: Address) -> bool | None:
     """Whether two addresses denote one building or plot; None if one of them has no address.
 
-    House number and street have to agree, and the town, the postcode or the region must not contradict. With
-    no town or postcode on both sides, more of the street has to agree.
+    House number and street have to be there, and the alignment of all tokens to cost no more than ``LIMIT``, or
+    seven tenths of it if neither town nor postcode is on both sides.
     """
     if not (a.street or a.town or a.postcode) or not (b.street or b.town or b.postcode):
         return None
-    if not (a.number and b.number and a.street and b.street):
+    if not (a.number and b.number and a.street and b.street) or a.number != b.number:
         return False
     shared = (a.town and b.town) or (a.postcode and b.postcode)
-    if a.street != b.street and _share(a.street, b.street) > (0.45 if shared else 0.25):
-        return False
-    return alignment_cost(a, b) <= LIMIT
-
-
-def near_place(a: Address, b: Address) -> str:
-    """How two addresses of which one may be partial relate: same, partial, missing, open or different.
-
-    ``missing`` is when one of them is not there, ``open`` when they have no part in common.
-    """
-    if not (a.street or a.town or a.postcode) or not (b.street or b.town or b.postcode):
-        if not (a.region or b.region) or not a.region or not b.region or a.region == b.region:
-            return "missing"
-        return "different"
-    if a.number and b.number and a.street and b.street:
-        return "same" if same_place(a, b) else "different"
-    if a.postcode and b.postcode:
-        if a.postcode != b.postcode:
-            return "different"
-    elif a.town and b.town:
-        if _share(a.town, b.town) > 0.34:
-            return "different"
-    if a.number and b.number and a.number != b.number:
-        return "different"
-    if a.street and b.street and _share(a.street, b.street) > 0.4:
-        return "different"
-    if (a.postcode and b.postcode) or (a.town and b.town) or (a.street and b.street):
-        return "partial"
-    if a.region and b.region:
-        return "partial" if a.region == b.region else "different"
-    return "open"
+    limit = LIMIT if shared else 0.7 * LIMIT
+    return alignment_cost(a.tokens, b.tokens, limit) <= limit

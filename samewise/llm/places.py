@@ -11,16 +11,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from samewise.llm.addresses import Address, read_address, same_place
 from samewise.llm.components import hash_to_min
-from samewise.operators.hot import salted_pairs
-from samewise.session import cut
+from samewise.operators.hot import join, salted_pairs
+from samewise.session import cut, drop, spread
 
-PARTS = ["number", "street", "kind", "town", "region", "postcode"]
+PARTS = ["number", "street", "kind", "town", "region", "postcode", "tokens"]
 READING = ", ".join(f"{p} string" for p in PARTS)
 #: Bands and rows of a band: with three tenths of the shingles in common a pair is found with a chance of 95 in 100.
 BANDS, ROWS = 32, 2
@@ -28,15 +29,17 @@ _P = np.uint64((1 << 61) - 1)
 
 
 def read_addresses(df: DataFrame, key: str, address: str, country: str) -> DataFrame:
-    """``key`` and the parts of each row's address; rows whose address says nothing have empty parts."""
+    """``id`` and the parts of each row's address; rows without a key, a house number or a street are left out."""
+    kind = df.select(F.col(f"`{key}`").alias("id")).schema[0].dataType.simpleString()
 
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for a, c in batches:
-            read = [read_address(x, y) for x, y in zip(a, c)]
-            yield pd.DataFrame({p: [getattr(r, p) for r in read] for p in PARTS}, columns=PARTS, dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, r) for i, a, c in zip(*(batch.column(k).to_pylist() for k in range(3))) if (r := read_address(a, c)).number and r.street]
+            parts = [pa.array([getattr(r, p) for _, r in rows], pa.string()) for p in PARTS]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], batch.schema.field(0).type), *parts], names=["id", *PARTS])
 
-    udf = F.pandas_udf(run, READING)
-    return df.select(F.col(f"`{key}`").alias(key), udf(F.col(f"`{address}`").cast("string"), F.col(f"`{country}`").cast("string")).alias("r")).select(key, "r.*")
+    texts = [F.col(f"`{c}`").cast("string").alias(f"__{k}") for k, c in enumerate((address, country))]
+    return spread(df.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("id"), *texts)).mapInArrow(run, f"id {kind}, {READING}")
 
 
 def shingles(number: str, street: str, town: str, postcode: str) -> list[int]:
@@ -76,30 +79,38 @@ def _bands(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         yield pd.Series(band_keys(sets))
 
 
-def _verify(batches: Iterator[tuple[pd.DataFrame, pd.DataFrame]]) -> Iterator[pd.Series]:
-    for x, y in batches:
-        left, right = (zip(*(d[p] for p in PARTS)) for d in (x, y))
-        yield pd.Series([bool(same_place(Address(*a), Address(*b))) for a, b in zip(left, right)])
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = batch.to_pylist()
+        keep = [i for i, r in enumerate(rows) if same_place(Address(**r["ra"]), Address(**r["rb"]))]
+        yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], names=["a", "b"])
 
 
-def same_places(df: DataFrame, key: str, address: str, country: str) -> DataFrame:
-    """``id_a, id_b``: pairs of different keys whose addresses denote the same place, the smaller key first.
-
-    Rows with a NULL key, and rows whose address is NULL, empty or without house number and street, are in no
-    pair. Repeated rows count once; a key with several addresses is where any of them is.
+def cluster_places(df: DataFrame, key: str, address: str, country: str) -> DataFrame:
+    """``id, place``: the place of each key; keys without an address have none.
 
-    Hot addresses: equal readings are one representative, so a place with a third of all rows costs no more
-    than its distinct readings before its pairs are written; buckets are paired in blocks.
+    A key with several addresses is at each of them. Equal readings are one representative, so a place with a third of
+    all rows is compared once; buckets are paired in blocks. Being at one place is an equivalence: readings tied through
+    others are one place too.
     """
-    read = cut(read_addresses(df.where(F.col(f"`{key}`").isNotNull()), key, address, country).where("number <> '' and street <> ''").withColumn("form", F.xxhash64(*PARTS)).withColumnRenamed(key, "id").distinct(), "addresses")
+    read = cut(read_addresses(df, key, address, country).withColumn("form", F.xxhash64(*PARTS)).distinct(), "addresses")
     forms = cut(read.select("form", *PARTS).dropDuplicates(["form"]), "forms")
     bands = F.pandas_udf(_bands, "array<bigint>")
-    banded = forms.select("form", F.explode(bands("number", "street", "town", "postcode")).alias("band")).distinct()
+    banded = cut(forms.select("form", F.explode(bands("number", "street", "town", "postcode")).alias("band")).distinct(), "bands")
     pairs = cut(salted_pairs(banded, ["band"], "form").select("a", "b").distinct(), "pairs")
     sides = [forms.select(F.col("form").alias(x), F.struct(*PARTS).alias(f"r{x}")) for x in "ab"]
-    verify = F.pandas_udf(_verify, "boolean")
-    links = pairs.join(sides[0], "a").join(sides[1], "b").where(verify("ra", "rb")).select("a", "b")
-    # being at one place is an equivalence: readings tied through others are one place too
-    place = cut(hash_to_min(links), "places")
-    members = read.select("form", "id").join(place, F.col("form") == F.col("node"), "left").select(F.coalesce("component", "form").alias("place"), "id").distinct()
-    return salted_pairs(members, ["place"], "id").select(F.col("a").alias("id_a"), F.col("b").alias("id_b")).distinct()
+    links = join(join(pairs, sides[0], "a"), sides[1], "b").select("a", "b", "ra", "rb").mapInArrow(_verify, "a bigint, b bigint")
+    place = hash_to_min(links)
+    out = cut(join(read.select("form", "id"), place, F.col("form") == F.col("node"), "left").select(F.coalesce("component", "form").alias("place"), "id").distinct(), "places")
+    for t in (read, forms, banded, pairs):
+        drop(t)
+    return out
+
+
+def same_places(df: DataFrame, key: str, address: str, country: str) -> DataFrame:
+    """``id_a, id_b``: pairs of different keys whose addresses denote the same place, the smaller key first.
+
+    Rows with a NULL key, and rows whose address is NULL, empty or without house number and street, are in no
+    pair. Repeated rows count once. The pairs are written from :func:`cluster_places`, which gives one row for each key.
+    """
+    return salted_pairs(cluster_places(df, key, address, country), ["place"], "id").select(F.col("a").alias("id_a"), F.col("b").alias("id_b")).distinct()
