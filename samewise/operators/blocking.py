@@ -13,8 +13,8 @@ from samewise.operators.tfidf import CHANNELS, fit_transform
 
 #: Digits to which similarities are rounded before they are compared, so that the order of sums is no tie rule.
 DIGITS = 6
-#: Rows of each side of a dense block.
-BLOCK = 1024
+#: Records of each side of a block.
+BLOCK = 3072
 
 
 def with_parts(index: DataFrame, pool: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -38,29 +38,58 @@ def similar(index: DataFrame, queries: DataFrame, threshold: float) -> DataFrame
     return dots.withColumn("sim", F.round("sim", DIGITS)).where(F.col("sim") > threshold)
 
 
-def similar_block(index: DataFrame, queries: DataFrame, threshold: float, size: int = BLOCK) -> DataFrame:
-    """The same by dense blocks: each pair of a block of the index and one of the queries is one matrix product.
+def _expand(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the owners and of the items of runs that begin at ``first`` and have ``size`` items."""
+    owner = np.repeat(np.arange(len(size)), size)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + first[owner]
 
-    A block has ``size`` records at most on average, so a task's memory has a bound however large a part is.
+
+def block_product(a: pd.DataFrame, b: pd.DataFrame, threshold: float, k: int | None = None, at_once: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(query, record, sim)`` of the postings ``id, term, w`` of two blocks: a sparse product, term by term.
+
+    Only what terms the two sides share is multiplied. With ``k`` a query keeps its ``k`` best records of the block and those
+    that are equal to the last of them, so no more than that leaves the task.
+    """
+    (ra, sa), (rb, sb) = pd.factorize(a["id"]), pd.factorize(b["id"])
+    terms, code = np.unique(a["term"].to_numpy(), return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    ra, wa = ra[order], a["w"].to_numpy()[order]
+    first = np.searchsorted(code[order], np.arange(len(terms) + 1))
+    at = pd.Index(terms).get_indexer(b["term"])
+    rb, wb, at = rb[at >= 0], b["w"].to_numpy()[at >= 0], at[at >= 0]
+    size = first[at + 1] - first[at]
+    sim = np.zeros(len(sb) * len(sa))
+    ends = np.searchsorted(np.cumsum(size), np.arange(at_once, size.sum() + at_once, at_once), "right") + 1 if len(size) else []
+    lo = 0
+    for hi in ends:  # so many products at a time
+        owner, item = _expand(first[at[lo:hi]], size[lo:hi])
+        sim += np.bincount(rb[lo:hi][owner] * len(sa) + ra[item], wb[lo:hi][owner] * wa[item], len(sim))
+        lo = hi
+    sim = np.round(sim.reshape(len(sb), len(sa)), DIGITS)
+    keep = sim > threshold
+    if k is not None and k < len(sa):
+        keep &= sim >= np.partition(sim, len(sa) - k, axis=1)[:, len(sa) - k, None]
+    q, s = np.nonzero(keep)
+    return np.asarray(sb, object)[q], np.asarray(sa, object)[s], sim[q, s]
+
+
+def similar_block(index: DataFrame, queries: DataFrame, threshold: float, size: int = BLOCK, k: int | None = None) -> DataFrame:
+    """The same by blocks: each pair of a block of the index and one of the queries is one sparse product in a task.
+
+    A block has ``size`` records at most on average, so a task's memory has a bound however large a part is. With ``k`` the
+    best of each query within the block leave it, so the shuffle behind has ``k`` rows a query and block.
     """
     n = lambda d: d.select("part", "id").distinct().groupBy("part").agg(F.ceil(F.count("*") / size).cast("int").alias("k"))
 
     def laid(d: DataFrame, mine: str, theirs: str, other: DataFrame) -> DataFrame:
-        own = d.join(n(d), "part").withColumn(mine, F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).drop("k")
+        own = d.withColumn("term", F.xxhash64("term")).join(n(d), "part").withColumn(mine, F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).drop("k")
         return own.join(n(other), "part").withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col("k") - 1))).drop("k")
 
     def product(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"part": [], "q": [], "s": [], "sim": []})
-        terms = pd.Index(a["term"].unique())
-        b = b[b["term"].isin(terms)]
-        (ra, sa), (rb, sb) = pd.factorize(a["id"]), pd.factorize(b["id"])
-        x, y = np.zeros((len(sa), len(terms))), np.zeros((len(sb), len(terms)))
-        x[ra, terms.get_indexer(a["term"])] = a["w"]
-        y[rb, terms.get_indexer(b["term"])] = b["w"]
-        sim = np.round(y @ x.T, DIGITS)
-        q, s = np.nonzero(sim > threshold)
-        return pd.DataFrame({"part": key[0], "q": np.asarray(sb, object)[q], "s": np.asarray(sa, object)[s], "sim": sim[q, s]})
+        q, s, sim = block_product(a, b, threshold, k)
+        return pd.DataFrame({"part": key[0], "q": q, "s": s, "sim": sim})
 
     left = laid(index, "i", "j", queries).groupBy("part", "i", "j")
     right = laid(queries, "j", "i", index).groupBy("part", "i", "j")
@@ -104,25 +133,17 @@ def similar_lsh(index: DataFrame, queries: DataFrame, threshold: float, bands: i
     return dots.withColumn("sim", F.round("sim", DIGITS)).where(F.col("sim") > threshold)
 
 
-def similar_auto(index: DataFrame, queries: DataFrame, threshold: float) -> DataFrame:
-    """The join of postings; retrieval takes dense blocks instead for channels of characters, see :func:`channel_topk`."""
-    return similar(index, queries, threshold)
-
-
-STRATEGIES = {"auto": similar_auto, "relational": similar, "block": similar_block, "lsh": similar_lsh}
+STRATEGIES = {"relational": similar, "block": similar_block, "lsh": similar_lsh}
 
 
 def channel_topk(index: DataFrame, pool: DataFrame, channel: str, k: int = 7, threshold: float = 0.1, max_df: float = 0.3, min_df: int | None = None, strategy: str = "auto") -> DataFrame:
     """``part, q, s, sim`` of the ``k`` best index records of each pool record in one channel, above the threshold.
 
     Both sides have a ``part`` column. Of equal similarities the smaller index id goes first. The strategy
-    ``auto`` multiplies dense blocks for channels of characters, whose few terms are in very many records, and joins
-    postings for channels of words; the results are the same.
+    ``auto`` multiplies blocks and keeps the best within each; ``relational`` joins postings; the results are the same.
     """
-    if strategy == "auto" and channel in ("nosp", "addr"):
-        strategy = "block"
     a, b = fit_transform(index, pool, channel, max_df=max_df, min_df=min_df)
-    found = STRATEGIES[strategy](a, b, threshold)
+    found = similar_block(a, b, threshold, k=k) if strategy in ("auto", "block") else STRATEGIES[strategy](a, b, threshold)
     order = Window.partitionBy("part", "q").orderBy(F.desc("sim"), "s")
     return found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,23 +75,15 @@ def pool(*sources: DataFrame) -> DataFrame:
     return out
 
 
-def one_per_id(df: DataFrame, key: str = "entity_id", *order: Column) -> DataFrame:
-    """One row for each id: the last loaded, if there is such a column, then the smallest texts.
-
-    An aggregation, so an id with very many rows is reduced before it is shuffled.
-    """
-    rest = [c for c in df.columns if c != key]
-    row = F.struct(*(order or ()), *rest)
-    return df.groupBy(key).agg(F.min(row).alias("__r")).select(key, *[F.col("__r")[c].alias(c) for c in rest])
-
-
 def source_table(spark: SparkSession, path: str) -> DataFrame:
     """A source stored as Parquet, perhaps with repeated ids and NULLs: one row per id, text never NULL."""
-    df = spark.read.parquet(path)
+    raw = df = spark.read.parquet(path)
     late = [(-F.unix_micros(F.col("loaded_at").cast("timestamp"))).alias("__late")] if "loaded_at" in df.columns else []
     df = df.where(F.col("entity_id").isNotNull())
     keep = [F.coalesce(c, F.lit("")).alias(c) for c in ("business_name", "business_address", "country")]
     rows = df.select("entity_id", F.struct(*late, *keep).alias("r")).groupBy("entity_id").agg(F.min("r").alias("r"))
+    if raw.rdd.getNumPartitions() < (cores := spark.sparkContext.defaultParallelism):
+        rows = rows.repartition(cores)  # a small table: what follows is dear for each row and should use all cores
     return rows.select("entity_id", "r.business_name", "r.business_address", country(F.col("r.country")).alias("country"))
 
 
