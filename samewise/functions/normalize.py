@@ -30,11 +30,11 @@ LIGATURES = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ø": "
 
 
 def ascii_latin(c: Column) -> Column:
-    """Latin letters without their accents; other scripts are left for :func:`transliterate`."""
+    """Latin letters without their accents; letters of some other scripts by their names."""
     for a, b in LIGATURES.items():
         c = F.replace(c, F.lit(a), F.lit(b))
     c = F.translate(c, *latin_table())
-    return F.regexp_replace(c, r"\p{M}+", "")
+    return F.regexp_replace(other_scripts(c), r"\p{M}+", "")
 
 
 def _spell(text: str | None) -> str | None:
@@ -64,9 +64,58 @@ def _spell(text: str | None) -> str | None:
     return "".join(out)
 
 
+def _sound(script: str, name: str) -> str:
+    """The sound of a letter from its Unicode name: Greek and Cyrillic names spell more than the letter's sound."""
+    name = name.lower()
+    if script == "GREEK":
+        return name[:2] if name[:2] in ("th", "ph", "ch", "ps") else name[:1]
+    if script == "CYRILLIC":
+        if name == "ie":
+            return "e"
+        if len(name) == 2 and name[0] == "e":
+            return name[1]  # EF, EL, EM, EN, ER, ES
+        return name if name[0] in "aeiouy" else name.rstrip("aeiou")
+    return name
+
+
+@lru_cache(maxsize=1)
+def script_table() -> str:
+    """Letters, vowel signs and digits of other scripts and their spelling, by the rule of :func:`_spell`, as ``c:ka,...``.
+
+    A vowel sign's spelling begins with ``\\u0001``, as a virama's is, which takes the vowel of the consonant before.
+    """
+    out = []
+    for c in map(chr, [*range(0x370, 0x530), *range(0x900, 0xD80)]):
+        name = unicodedata.name(c, "")
+        found = re.search(r"(?:LETTER|VOWEL SIGN|DIGIT) ([A-Z]+)$", name)
+        if "VIRAMA" in name:
+            out.append((c, "\u0001"))
+        elif found and "VOWEL SIGN" in name:
+            out.append((c, "\u0001" + found[1].lower()))
+        elif "ANUSVARA" in name or "CANDRABINDU" in name:
+            out.append((c, "n"))
+        elif unicodedata.category(c) == "Nd":
+            out.append((c, str(unicodedata.digit(c))))
+        elif found:
+            out.append((c, _sound(name.split(" ")[0], found[1])))
+        else:
+            base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+            found = re.search(r"LETTER ([A-Z]+)$", unicodedata.name(base, "")) if len(base) == 1 else None
+            if found:
+                out.append((c, _sound(name.split(" ")[0], found[1])))
+    return ",".join(f"{c}:{x}" for c, x in out)
+
+
+def other_scripts(c: Column) -> Column:
+    """Greek, Cyrillic and the scripts of India in Latin letters, within the JVM; texts of Latin letters are not touched."""
+    table = F.str_to_map(F.lit(script_table()), F.lit(","), F.lit(":"))
+    spelt = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.element_at(table, x), x)), "")
+    return F.when(c.rlike(r"[\u0370-\u052F\u0900-\u0D7F]"), F.regexp_replace(spelt, "a?\u0001", "")).otherwise(c)
+
+
 @F.pandas_udf(T.StringType())
 def transliterate(s: pd.Series) -> pd.Series:
-    """Any script to ASCII. Only for tables that have such text: it leaves the JVM."""
+    """Any script to ASCII, also those that :func:`other_scripts` lacks. Only for tables that have such text: it leaves the JVM."""
     return s.map(_spell)
 
 

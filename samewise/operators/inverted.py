@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from samewise.functions.normalize import words
 from samewise.functions.tokens import first_ngrams
 from samewise.operators.blocking import channel_topk, with_parts
+from samewise.operators.hot import salted_join
 
-#: Index records from which on a key is too common to tell anything.
+#: The reference setting of ``hot``: index records from which on a key counts for none. Not the default, as it drops keys as data grow.
 HOT = 10_000
 
 
@@ -33,18 +34,21 @@ def block_keys(nosp: Column, core: Column, nums: Column) -> Column:
     )
 
 
-def block_inverted(index: DataFrame, pool: DataFrame, most: int = 30, hot: int = HOT) -> DataFrame:
+def block_inverted(index: DataFrame, pool: DataFrame, most: int = 30, hot: int | None = None) -> DataFrame:
     """``s1, cand, block_hits``: shared keys of a pool record and its ``most`` best index records of its country.
 
-    A key with ``hot`` index records or more counts for none. Countries the index lacks search all of it. Of
-    equal hits the smaller index id goes first.
+    All keys count, however common; hot ones are joined in blocks. With ``hot`` a key of so many index records or
+    more counts for none. Countries the index lacks search all of it. Of equal hits the smaller index id goes first.
     """
     left, right = with_parts(index, pool)
     keys = block_keys(F.col("nosp"), F.col("core"), F.col("nums"))
     a = left.select("part", F.col("entity_id").alias("s1"), F.explode(keys).alias("key"))
-    common = a.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") < hot).select("part", "key")
     b = right.select("part", F.col("entity_id").alias("cand"), F.explode(keys).alias("key"))
-    hits = b.join(common, ["part", "key"], "left_semi").join(a, ["part", "key"]).groupBy("s1", "cand").agg(F.count("*").cast("int").alias("block_hits"))
+    if hot is not None:
+        rare = a.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") < hot).select("part", "key")
+        b = b.join(rare, ["part", "key"], "left_semi")
+    keyed = [d.select(F.xxhash64("part", "key").alias("h"), F.struct("part", "key").alias(f"k_{x}"), x) for d, x in ((a, "s1"), (b, "cand"))]
+    hits = salted_join(*keyed, "h").where("k_s1 = k_cand").groupBy("s1", "cand").agg(F.count("*").cast("int").alias("block_hits"))
     order = Window.partitionBy("cand").orderBy(F.desc("block_hits"), "s1")
     return hits.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).drop("r")
 

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from samewise.operators.decide import decide
 from samewise.operators.evaluate import macro_f05
 from samewise.operators.features import FEATURES
-from samewise.operators.sampling import folds, sample
+from samewise.operators.sampling import folds, sample, unit
+from samewise.session import cut
 
 #: Settings of the boosted trees: the careful and the fast preset.
 PRESETS = {"careful": {"stepSize": 0.06, "minInstancesPerNode": 50}, "fast": {"stepSize": 0.08, "minInstancesPerNode": 100}}
@@ -25,7 +26,7 @@ def _assemble(names: tuple[str, ...]) -> VectorAssembler:
 def fit_gbt(rows: DataFrame, names: tuple[str, ...] = FEATURES, rounds: int = 40, preset: str = "careful", depth: int = 5, seed: int = 0, validation: str | None = None) -> PipelineModel:
     """Boosted trees on ``y``; with a ``validation`` column (true for held-out rows) they stop early."""
     p = PRESETS[preset]
-    gbt = GBTClassifier(labelCol="y", featuresCol="features", maxIter=rounds, maxDepth=depth, stepSize=p["stepSize"], minInstancesPerNode=min(p["minInstancesPerNode"], 50), subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed)
+    gbt = GBTClassifier(labelCol="y", featuresCol="features", maxIter=rounds, maxDepth=depth, stepSize=p["stepSize"], minInstancesPerNode=p["minInstancesPerNode"], subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed)
     if validation:
         gbt = gbt.setValidationIndicatorCol(validation)
     return Pipeline(stages=[_assemble(names), gbt]).fit(rows)
@@ -42,20 +43,42 @@ def probability(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return model.transform(rows).withColumn("p", vector_to_array("probability")[1]).select(*keep, "p")
 
 
-def out_of_fold(rows: DataFrame, n: int = 4, names: tuple[str, ...] = FEATURES, **settings: object) -> DataFrame:
-    """``p`` of each row by a model that saw no row of its ``s1``."""
-    parts = folds(rows, "s1", n).cache()
-    out = None
+def best_rounds(model: PipelineModel) -> int:
+    """Trees of a model; after early stopping those up to the best on the held-out rows."""
+    return model.stages[-1].getNumTrees
+
+
+def fit_stopping(rows: DataFrame, names: tuple[str, ...] = FEATURES, held: float = 0.15, seed: int = 1, **settings: object) -> PipelineModel:
+    """Boosted trees that stop early on the rows of a share ``held`` of the ``s1``; plain ones if either part would lack a class."""
+    parts = rows.withColumn("held", unit("s1", seed) < held)
+    if parts.where("y is not null").select("held", "y").distinct().count() < 4:
+        return fit_gbt(rows, names, **settings)
+    return fit_gbt(parts, names, validation="held", **settings)
+
+
+def fit_folds(rows: DataFrame, n: int = 4, names: tuple[str, ...] = FEATURES, **settings: object) -> tuple[DataFrame, list[int]]:
+    """``p`` of each row by a model that saw no row of its ``s1``, and the best rounds of each fold's model."""
+    parts = cut(folds(rows, "s1", n), "folds")
+    out, rounds = None, []
     for k in range(n):
         train, test = parts.where(F.col("fold") != k), parts.where(F.col("fold") == k)
-        some = probability(fit_gbt(train, names, **settings), test)
+        model = fit_stopping(train, names, **settings)
+        rounds.append(best_rounds(model))
+        some = probability(model, test)
         out = some if out is None else out.unionByName(some)
-    return out.drop("fold")
+    return out.drop("fold"), rounds
+
+
+def out_of_fold(rows: DataFrame, n: int = 4, names: tuple[str, ...] = FEATURES, **settings: object) -> DataFrame:
+    """The first of :func:`fit_folds`."""
+    return fit_folds(rows, n, names, **settings)[0]
 
 
-def leave_country_out(rows: DataFrame, names: tuple[str, ...] = FEATURES, least: int = 50, **settings: object) -> DataFrame:
-    """``p`` of the rows of each ``country`` by a model that saw none of it; countries with fewer rows are skipped."""
-    lands = [r[0] for r in rows.groupBy("country").agg(F.count("*").alias("n"), F.sum("y").alias("k")).where((F.col("n") >= least) & (F.col("k") > 0)).orderBy("country").limit(1000).collect()]
+def leave_country_out(rows: DataFrame, names: tuple[str, ...] = FEATURES, most: int = 1000, **settings: object) -> DataFrame:
+    """``p`` of the rows of each ``country`` with a match by a model that saw none of it; more than ``most`` countries are an error."""
+    lands = [r[0] for r in rows.groupBy("country").agg(F.sum("y").alias("k")).where("k > 0").select("country").orderBy("country").limit(most + 1).collect()]
+    if len(lands) > most:
+        raise ValueError(f"more than {most} countries, each of which would need a model")
     out = None
     for land in lands if len(lands) > 1 else ():
         some = probability(fit_gbt(rows.where(F.col("country") != land), names, **settings), rows.where(F.col("country") == land))

@@ -230,7 +230,7 @@ def block_keys(spark, d):
 
 
 def _inverted_sql(most):
-    return f"{_KEYED}, rare AS (SELECT part, key FROM ik GROUP BY ALL HAVING count(*) < 10000), hits AS (SELECT s1, cand, CAST(count(*) AS INTEGER) AS block_hits FROM qk JOIN rare USING (part, key) JOIN ik USING (part, key) GROUP BY ALL), inverted AS (SELECT s1, cand, block_hits FROM (SELECT *, row_number() OVER (PARTITION BY cand ORDER BY block_hits DESC, s1) AS r FROM hits) WHERE r <= {most})"
+    return f"{_KEYED}, hits AS (SELECT s1, cand, CAST(count(*) AS INTEGER) AS block_hits FROM qk JOIN ik USING (part, key) GROUP BY ALL), inverted AS (SELECT s1, cand, block_hits FROM (SELECT *, row_number() OVER (PARTITION BY cand ORDER BY block_hits DESC, s1) AS r FROM hits) WHERE r <= {most})"
 
 
 @query(f"WITH {Q.INDEX},{Q.POOL},{Q.PARTS},{_inverted_sql(30)} SELECT * FROM inverted")
@@ -463,7 +463,7 @@ def _training_rows(spark, d):
 @query()
 def gbt_out_of_fold(spark, d):
     """Probabilities of the labelled candidates by boosted trees that did not see their record."""
-    return M.out_of_fold(cut(_training_rows(spark, d), "training"), rounds=10, depth=4).select("s1", "cand", "y", F.round("p", 6).alias("p"))
+    return M.out_of_fold(cut(_training_rows(spark, d), "training")).select("s1", "cand", "y", F.round("p", 6).alias("p"))
 
 
 @query(f"""WITH {Q.TRUTH}, {PROBABLE}, {SINGLE}, grid AS (SELECT unnest([0.3, 0.4, 0.5, 0.6, 0.7]) AS thr),

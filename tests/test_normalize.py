@@ -76,3 +76,8 @@ def test_folding_is_one_pass_of_the_rules(word):
 )
 def test_tokens(spark, make, text, want):
     assert one(spark, text, make) == want
+
+
+@pytest.mark.parametrize(("text", "want"), [("शर्मा", "sharma"), ("राम Road", "rama road"), ("Москва", "moskva"), ("Ωμέγα", "omega"), ("Société", "societe")])
+def test_base_spells_other_scripts(spark, text, want):
+    assert one(spark, text, N.base) == want

@@ -130,3 +130,24 @@ def test_salted_join_is_a_join(spark):
     right = spark.createDataFrame([("h", i) for i in range(30)] + [("k", 5), ("k", 6), (None, 2)], "key string, b long")
     rows = salted_join(left, right, "key", block=8).collect()
     assert len(rows) == len(set(rows)) == 40 * 30 + 2
+
+
+def test_no_key_is_too_common(spark):
+    index = spark.createDataFrame([(f"S1-{i:05}", "commonname", "commonname", "", "us") for i in range(300)], "entity_id string, nosp string, core string, nums string, country string")
+    pool = spark.createDataFrame([("S2-1", "commonname", "commonname", "", "us")], "entity_id string, nosp string, core string, nums string, country string")
+    assert I.block_inverted(index, pool, most=400).count() == 300 and I.block_inverted(index, pool, most=400, hot=300).count() == 0
+
+
+def test_block_product_keeps_the_best_and_their_equals():
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(0)
+    side = lambda n: pd.DataFrame([(f"{i:02}", t, float(rng.integers(1, 4))) for i in range(n) for t in rng.choice(12, 4, replace=False)], columns=["id", "term", "w"])
+    a, b = side(30), side(20)
+    x, y = (d.pivot(index="id", columns="term", values="w").reindex(columns=range(12)).fillna(0.0) for d in (a, b))
+    want = y.to_numpy() @ x.to_numpy().T
+    for k, at_once in ((None, 1 << 20), (3, 7)):
+        found = {(q, s): v for q, s, v in zip(*B.block_product(a, b, 0.5, k, at_once))}
+        keep = (want > 0.5) & (want >= (np.sort(want, axis=1)[:, -k, None] if k else 0))
+        assert found == {(y.index[i], x.index[j]): want[i, j] for i, j in zip(*np.nonzero(keep))}
