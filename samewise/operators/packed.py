@@ -42,7 +42,7 @@ def split_packed(text: str | None, delimiters: str = DELIMITERS, spaces: bool =
     def emit() -> None:
         nonlocal quoted
         found = "".join(value).strip()
-        if found and (found.lower() not in none_words):
+        if found and (quoted or found.lower() not in none_words):
             out.append(found)
         value.clear()
         quoted = False

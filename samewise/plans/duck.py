@@ -72,8 +72,23 @@ def prepared(name: str, tables: list[str], variant: str = "g2") -> str:
 
 
 INDEX, POOL = prepared("ix", ["train_source1"]), prepared("pl", ["train_source2", "train_source3"])
-TRUTH = """labelled AS (SELECT DISTINCT source1_entity_id AS s1 FROM train_labels WHERE source1_entity_id IS NOT NULL),
-    truth AS (SELECT DISTINCT source1_entity_id AS s1, cand FROM (SELECT source1_entity_id, unnest(string_split(coalesce(matched_entity_ids, ''), ',')) AS cand FROM train_labels) WHERE cand <> '' AND source1_entity_id IS NOT NULL)"""
+
+
+def standard_s1(e: str) -> str:
+    """The standard form of a Source 1 id."""
+    d = f"regexp_extract(upper(translate({e}, '０１２３４５６７８９ＳｓＩｌＯ', '0123456789SsIlO')), '^[^\\p{{L}}\\p{{N}}]*S[^\\p{{L}}\\p{{N}}]*1(?:[^\\p{{L}}\\p{{N}}]+0*|0*)([0-9]+)[^\\p{{L}}\\p{{N}}]*$', 1)"
+    return f"CASE WHEN {d} = '' THEN trim({e}) WHEN length({d}) < 8 THEN 'S1-' || lpad({d}, 8, '0') ELSE 'S1-' || {d} END"
+
+
+def packed(e: str) -> str:
+    """The values of a packed field: quoted ones, and runs of what is no delimiter, quote or bracket; no words for none."""
+    found = f"regexp_extract_all(coalesce({e}, ''), concat('\"[^\"]*\"|', chr(39), '[^', chr(39), ']*', chr(39), '|[^\\s,;|/\"', chr(39), '\\[\\](){{}}]+'))"
+    words = "'', 'none', 'null', 'nil', 'nan', 'na', 'n', 'a', 'no', 'match', 'nothing', 'empty', '-', '--'"
+    return f"list_filter(list_transform({found}, lambda t: trim(trim(t, concat('\"', chr(39))))), lambda t: lower(t) NOT IN ({words}))"
+
+
+TRUTH = f"""labelled AS (SELECT DISTINCT {standard_s1('source1_entity_id')} AS s1 FROM train_labels WHERE source1_entity_id IS NOT NULL),
+    truth AS (SELECT DISTINCT {standard_s1('source1_entity_id')} AS s1, cand FROM (SELECT source1_entity_id, unnest({packed('matched_entity_ids')}) AS cand FROM train_labels) WHERE source1_entity_id IS NOT NULL)"""
 
 TOKENS = {
     "char3": lambda x: f"list_transform(range(1, length({x}) - 1), lambda i: substr({x}, i, 3))",

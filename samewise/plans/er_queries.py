@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from samewise.functions import normalize as N
 from samewise.functions import similarity as S
 from samewise.functions import tokens as T
+from samewise.functions.ids import standard_s1
 from samewise.operators import blocking as B
 from samewise.operators import decide as D
 from samewise.operators import evaluate as E
@@ -17,6 +18,7 @@ from samewise.operators import model as M
 from samewise.operators import rerank as R
 from samewise.operators import sampling as P
 from samewise.operators import validate as V
+from samewise.operators.packed import explode_packed
 from samewise.operators.tfidf import fit_transform
 from samewise.plans import duck as Q
 from samewise.plans.resolve import baseline_probability, resolve
@@ -51,24 +53,28 @@ def _pool(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _truth(spark: SparkSession, d: str) -> DataFrame:
-    return E.truth_pairs(table(spark, d, "train_labels")).where("s1 is not null").distinct()
+    """The true pairs: every id of the packed lists, of records in standard form."""
+    labels = table(spark, d, "train_labels").where("source1_entity_id is not null")
+    return explode_packed(labels, "source1_entity_id", "matched_entity_ids", "cand").select(standard_s1("source1_entity_id").alias("s1"), "cand").distinct()
 
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "train_labels").select(F.col("source1_entity_id").alias("s1")).where("s1 is not null").distinct()
+    return table(spark, d, "train_labels").where("source1_entity_id is not null").select(standard_s1("source1_entity_id").alias("s1")).distinct()
 
 
 def _stored(spark: SparkSession, d: str) -> DataFrame:
-    """The stored candidates, one row a pair: the first scoring, in the order of its time."""
-    c = table(spark, d, "candidate_pairs").where("s1 is not null and cand is not null and score is not null and not isnan(score)")
+    """The stored candidates, one row a pair of records in standard form: the first scoring, in the order of its time."""
+    c = table(spark, d, "candidate_pairs").where("s1 is not null and cand is not null and score is not null and not isnan(score)").withColumn("s1", standard_s1("s1"))
     rest = ["score", "sim_name", "sim_addr", "sim_name_word", "sim_addr_word", "best", "gap", "rank"]
     first = c.groupBy("s1", "cand").agg(F.min(F.struct("scored_at", *rest)).alias("r"))
     return first.select("s1", "cand", *[f"r.{x}" for x in rest])
 
 
-STORED = """stored AS (SELECT s1, cand, score, sim_name, sim_addr, sim_name_word, sim_addr_word, best, gap, rank FROM (
-        SELECT *, row_number() OVER (PARTITION BY s1, cand ORDER BY scored_at, score, sim_name, sim_addr) AS r FROM candidate_pairs
-        WHERE s1 IS NOT NULL AND cand IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)) WHERE r = 1)"""
+_ORDER = ", ".join(f"{c} NULLS FIRST" for c in ("scored_at", "score", "sim_name", "sim_addr", "sim_name_word", "sim_addr_word", "best", "gap", "rank"))
+STORED = f"""stored AS (SELECT s1, cand, score, sim_name, sim_addr, sim_name_word, sim_addr_word, best, gap, rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY s1, cand ORDER BY {_ORDER}) AS r
+        FROM (SELECT * REPLACE ({Q.standard_s1('s1')} AS s1) FROM candidate_pairs
+        WHERE s1 IS NOT NULL AND cand IS NOT NULL AND score IS NOT NULL AND NOT isnan(score))) WHERE r = 1)"""
 PROBABLE = f"{STORED}, probable AS (SELECT s1, cand, score, round(1.0 / (1.0 + exp(-(8.0 * score - 8.0))), 6) AS p FROM stored)"
 SINGLE = "single AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cand ORDER BY p DESC, score DESC, s1) AS r FROM probable) WHERE r = 1)"
 THRESHOLD = "decided AS (SELECT s1, cand, p FROM single WHERE p >= 0.5)"
@@ -348,10 +354,17 @@ def id_list_sink(spark, d):
 
 
 @query("SELECT source1_entity_id AS s1, cand FROM (SELECT source1_entity_id, unnest(string_split(coalesce(matched_entity_ids, ''), ',')) AS cand FROM train_labels) WHERE cand <> ''")
-def gt_explode(spark, d):
+def gt_explode_commas(spark, d):
+    """The reference's reading of a truth file: split at commas alone."""
     return E.truth_pairs(table(spark, d, "train_labels"))
 
 
+@query(f"WITH {Q.TRUTH} SELECT s1, cand FROM truth")
+def gt_explode(spark, d):
+    """The true pairs, whatever way their lists are packed."""
+    return _truth(spark, d)
+
+
 @query(f"WITH {Q.TRUTH}, {PROBABLE}, {SINGLE}, {THRESHOLD}, {Q.per_entity('decided')} SELECT round(avg({Q.F05}), 6) AS macro_f05, count(*) AS n FROM per")
 def macro_f05(spark, d):
     return E.macro_f05(D.by_threshold(_probable(spark, d)), _truth(spark, d), _labelled(spark, d))
@@ -438,7 +451,7 @@ def holdout(spark, d):
     yes AS (SELECT entity_id FROM ids WHERE entity_id IN (SELECT cand FROM mine)), k AS (SELECT CAST(floor(1.5 * count(*)) AS BIGINT) AS n FROM yes),
     h AS (SELECT entity_id, row_number() OVER (ORDER BY {_MD5}, entity_id) AS r FROM ids WHERE entity_id IN (SELECT cand FROM truth) AND entity_id NOT IN (SELECT cand FROM mine)),
     e AS (SELECT entity_id, row_number() OVER (ORDER BY {_MD5}, entity_id) AS r FROM ids WHERE entity_id NOT IN (SELECT cand FROM truth))
-    SELECT entity_id, 'true' AS kind FROM yes UNION ALL SELECT entity_id, 'hard' FROM h, k WHERE r <= CAST(floor(n * 0.7) AS BIGINT) UNION ALL SELECT entity_id, 'easy' FROM e, k WHERE r <= n - CAST(floor(n * 0.7) AS BIGINT)""")
+    SELECT entity_id, 'true' AS kind FROM yes UNION ALL SELECT entity_id, 'hard' FROM h, k WHERE r <= CAST(floor(n * CAST(0.7 AS DOUBLE)) AS BIGINT) UNION ALL SELECT entity_id, 'easy' FROM e, k WHERE r <= n - CAST(floor(n * CAST(0.7 AS DOUBLE)) AS BIGINT)""")
 def negative_plan(spark, d):
     pool_ids = table(spark, d, "train_source2").select("entity_id").unionByName(table(spark, d, "train_source3").select("entity_id"))
     return P.negative_plan(pool_ids, _truth(spark, d), P.sample(_labelled(spark, d), "s1", 100))

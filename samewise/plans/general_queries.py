@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from samewise.operators.packed import explode_packed
+from samewise.plans.duck import packed
 from samewise.session import table
 
 
@@ -15,4 +16,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "p5_found": f"""SELECT DISTINCT source1_entity_id, CAST(pos AS INTEGER) AS pos, ids[pos] AS matched_entity_id
+    FROM (SELECT source1_entity_id, ids, unnest(range(1, len(ids) + 1)) AS pos FROM (SELECT source1_entity_id, {packed('matched_entity_ids')} AS ids FROM train_labels))"""
+}
