@@ -186,3 +186,16 @@ def test_stored_blocks_equal_the_join_of_postings(spark, tables, monkeypatch):
     assert key(new) == key(old)
     plan = new._jdf.queryExecution().executedPlan().toString()
     assert "CoGroup" not in plan and "Window" not in plan  # no block is sent to all the others, no pairs are shuffled
+
+
+def test_inverted_hits_are_not_joined(tables, monkeypatch):
+    from samewise.operators import retrieve
+
+    monkeypatch.setattr(retrieve, "BLOCK", 9)
+    left, right = tables
+    key = lambda d: sorted((r.s1, r.cand, r.block_hits) for r in d.collect())
+    both = right.unionByName(right.where("entity_id = 'S2-005'").withColumn("country", F.lit("spain")))  # one id in two parts
+    for pool in (right, both):
+        assert key(I.block_inverted(left, pool, most=4)) == key(I.block_inverted(left, pool, most=4, hot=10**9))
+    plan = I.block_inverted(left, right)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
