@@ -199,3 +199,11 @@ def test_inverted_hits_are_not_joined(tables, monkeypatch):
         assert key(I.block_inverted(left, pool, most=4)) == key(I.block_inverted(left, pool, most=4, hot=10**9))
     plan = I.block_inverted(left, right)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
+
+
+def test_fused_channels_are_shuffled_once(spark, tables, monkeypatch):
+    found = spark.createDataFrame([("us", "q", "s2", 0.4), ("us", "q", "s1", 0.5)], "part string, q string, s string, sim double")
+    monkeypatch.setattr(B, "channel_topk", lambda *a, **k: found)
+    out = B.block(*tables)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted((r["rank"], r.s1, r.best) for r in out.collect()) == [(0, "s1", 0.75), (1, "s2", 0.75)]
