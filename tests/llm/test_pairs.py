@@ -374,3 +374,27 @@ def test_calibration():
     for lo in (0.1, 0.4, 0.7):
         some = (p >= lo) & (p < lo + 0.2)
         assert abs(p[some].mean() - y[some].mean()) < 0.05
+
+
+def test_linked_names_are_those_of_the_cosine_join(spark, monkeypatch):
+    monkeypatch.setattr(V, "BLOCK", 3)
+    texts = ["Richard Gafohil Nadova", "R. Gafohil Nadova", "Gafohil Nadova Ltd", "Gafohl Nadova", "Nadova Gafohil Textiles", "Gafohil Nadova Foods", "Gafohilnadova", "Kumar Bisoneta", "Kumar Bisonata Inc", "K. Bisoneta", "Tolaver"]
+    docs = V.cut(V.read_names(spark.createDataFrame(list(enumerate(texts)), "k long, n string"), "k", "n").withColumnRenamed("id", "doc"))
+    made, n = V.cut(V.vectors(docs)), docs.count()
+    names = {r.doc: V._name(r.asDict()) for r in docs.collect()}
+    pairs = V.cosine_join(V.cut(V.weigh(made, n))).collect()
+    want = {(r.a, r.b): r.cosine**0.5 for r in pairs if same_name(names[r.a], names[r.b])}
+    stored = V.store_vectors(made, docs, n)
+    linked = V.linked(stored)
+    found = {}
+    for r in linked.collect():
+        found[r.a, r.b] = max(r.s, found.get((r.a, r.b), 0))
+    assert len(want) > 5 and len(pairs) > len(want)
+    assert found.keys() == want.keys() and all(found[p] == pytest.approx(want[p], abs=1e-6) for p in want)
+    assert stored.select("block").distinct().count() > 1
+    plan = linked._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "hashpartitioning" not in plan  # no pair is shuffled
+    side = V._Side(stored.toArrow())
+    whole = V.near(side, side, V.COSINE)
+    monkeypatch.setattr(V, "ITEMS", 1)  # a vector at a time
+    assert all((x == y).all() for x, y in zip(whole, V.near(side, side, V.COSINE)))
