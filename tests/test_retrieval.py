@@ -281,3 +281,27 @@ def test_tokens_of_a_row_are_made_once(spark):
     calls = lambda c, name: df.select(c.alias("y"))._jdf.queryExecution().optimizedPlan().toString().count(name)
     assert calls(word_ngrams(F.col("x")), "regexp_extract_all") == 1 and calls(char_ngrams(F.col("x")), "regexp_replace") == 1
     assert calls(base(F.col("x")), "translate") == 1
+
+
+def test_equal_queries_are_searched_once(spark, monkeypatch):
+    import numpy as np
+
+    from samewise.operators import retrieve as R
+
+    one = R.Equals(np.array([0, 0, 2, 3, 3, 4]), np.array([1, 5, 5, 1, 5, 5]), np.array([1, 1, 1, 1, 1, 2]), 6)
+    assert one.count == 4 and (one.owner.tolist(), one.code.tolist(), one.tf.tolist()) == ([0, 0, 2, 3], [1, 5, 5, 5], [1, 1, 1, 2])
+    at, same = one.members(np.array([3, 0]))
+    assert (at.tolist(), same.tolist()) == ([0, 1, 1], [4, 0, 3])
+    assert one.members(np.array([0, 1]), 1)[1].tolist() == [0, 1]
+
+    # equal records, also across blocks, of which the smallest ids are kept; unknown words make no difference
+    monkeypatch.setattr(R, "BLOCK", 7)
+    index = spark.createDataFrame([(f"S1-{i:02}", f"word{i % 3} tools", "us") for i in range(30)], "entity_id string, core string, part string")
+    pool = spark.createDataFrame([(f"S2-{i:02}", f"word{i % 3} tools other{i}", "us") for i in range(60)], "entity_id string, core string, part string")
+    found, want = (B.channel_topk(index, pool, "name_word", k=4, max_df=0.5, strategy=s) for s in ("auto", "relational"))
+    rows = found.select("*", F.spark_partition_id().alias("task")).collect()
+    assert sorted((r.q, r.s, round(r.sim, 5)) for r in rows) == sorted((r.q, r.s, round(r.sim, 5)) for r in want.collect()) and len(rows) == 240
+    tasks = {}
+    for r in rows:
+        tasks.setdefault(int(r.q[3:]) % 3, set()).add(r.task)
+    assert all(len(t) == 1 for t in tasks.values())
