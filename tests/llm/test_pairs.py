@@ -398,3 +398,28 @@ def test_linked_names_are_those_of_the_cosine_join(spark, monkeypatch):
     whole = V.near(side, side, V.COSINE)
     monkeypatch.setattr(V, "ITEMS", 1)  # a vector at a time
     assert all((x == y).all() for x, y in zip(whole, V.near(side, side, V.COSINE)))
+
+
+def test_scores_of_pairs_are_compiled(spark):
+    """The JVM leaves methods of more than 8 000 bytes to its interpreter."""
+    from samewise.llm import matching as M
+
+    rows = [("a", "Bihova Nefagon Foundry", "12 High Street, Leeds", "us"), ("b", "Bihova Nefagoon Foundri", "12 High St", "us"), ("c", None, "7 Mill Road", "us")]
+    df = spark.createDataFrame(rows, "id string, n string, a string, c string")
+    forms = M.read_records(df, "id", "n", "a", "c").withColumn("form", F.xxhash64("id")).cache()
+    pairs = forms.select(F.col("form").alias("a")).crossJoin(forms.select(F.col("form").alias("b")))
+    scored = M.score_pairs(pairs, forms, forms)
+    debug = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        made = debug.codegenStringSeq(M.score_pairs(pairs, forms, forms)._jdf.queryExecution().executedPlan())
+        sizes = [made.apply(i)._3().maxMethodCodeSize() for i in range(made.size())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sizes and max(sizes) < 8000
+    at = {r.id: r.form for r in forms.select("id", "form").collect()}
+    by = {(r.a, r.b): r for r in scored.collect()}
+    same, near, bare = (by[at["a"], at[x]] for x in "abc")
+    assert same.name2 == same.name3 == same.within == same.street == 1.0 and same.pattern == 0
+    assert 0 < near.name3 < near.name2 < 1 and near.number == 1.0 and near.town is None and near.score < same.score
+    assert bare.name2 is None and bare.within is None and bare.number == 0.0
